@@ -135,10 +135,9 @@ def mix(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: rows of ``docs``, all columns, as often as they are taken."""
     chosen = mix(docs).filter("copies > 0").groupBy("doc_id", "key").agg(F.sum("copies").alias("n"), F.count("*").alias("rows"))
-    keyed = docs.withColumn("_mix_key", text_key(F.col("text")))
-    c = chosen.select(F.col("doc_id").alias("_mix_id"), F.col("key").alias("_mix_key2"), F.ceil(F.col("n") / F.col("rows")).cast("int").alias("_mix_n"))
-    joined = keyed.join(c, (keyed["doc_id"].eqNullSafe(c["_mix_id"])) & (keyed["_mix_key"] == c["_mix_key2"]))
-    return joined.withColumn("_mix_n", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).select(*[keyed[c_] for c_ in docs.columns])
+    c = chosen.select(F.col("doc_id").alias("_mix_id"), F.col("key").alias("_mix_key"), F.ceil(F.col("n") / F.col("rows")).cast("int").alias("_mix_n"))
+    joined = docs.join(c, docs["doc_id"].eqNullSafe(c["_mix_id"]) & (text_key(docs["text"]) == c["_mix_key"]))
+    return joined.withColumn("_mix_n", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).drop("_mix_id", "_mix_key", "_mix_n")
 
 
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
