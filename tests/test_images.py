@@ -49,8 +49,9 @@ def test_crops_have_names():
 
 
 def test_variants_of_a_flip_match_the_original():
-    f = P.fingerprint(NOISE, True, True, False, False, False)
-    g = P.fingerprint(NOISE[:, ::-1], False, False, False, False, False)
+    smooth = P.resize(NOISE[:24:4, :24:4], 256, 256)
+    f = P.fingerprint(smooth, True, True, False, False, False)
+    g = P.fingerprint(smooth[:, ::-1], False, False, False, False, False)
     d = lambda x, y: bin((x ^ y) & (2**64 - 1)).count("1")
     assert min(d(v["d8"], g["d8"]) for v in f["variants"]) <= 8
 
