@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinsift.llm import chat, decontamination, langid, lines, lm_scoring, mixing, quality, sharding, simhash, substrings
+from twinsift.llm import chat, decontamination, langid, lines, lm_scoring, mixing, oracles, quality, sharding, simhash, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.ORACLES)
