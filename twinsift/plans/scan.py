@@ -42,9 +42,10 @@ def match_edges(files: DataFrame, fps: DataFrame, config: ScanConfig, rejections
     rows = files.select("id", "width", "height").join(fps, "id").filter("fp IS NOT NULL")
     # rows that no pair test can tell apart share a node
     same = [c for c in ("fp", "width", "height", "variants", "crops", "color_hist", "edge_hist", "phash") if c in rows.columns]
-    nodes = materialize(rows.groupBy(*same).agg(F.min("id").alias("id"), F.collect_set("id").alias("_ids")), "nodes")
-    copies = nodes.select(F.col("id").alias("src"), F.explode("_ids").alias("dst")).filter("src <> dst").select("src", "dst", F.lit(0).alias("dist"), F.lit("structural").alias("match_type"))
-    nodes = nodes.drop("_ids")
+    rows = rows.withColumn("_sig", F.md5(F.to_json(F.struct(*same))))
+    reps = rows.groupBy("_sig").agg(F.min("id").alias("_rep"))
+    copies = rows.select("id", "_sig").join(reps, "_sig").filter("id <> _rep").select(F.col("_rep").alias("src"), F.col("id").alias("dst"), F.lit(0).alias("dist"), F.lit("structural").alias("match_type"))
+    nodes = materialize(rows.join(reps.select("_rep"), F.col("id") == F.col("_rep"), "left_semi").drop("_sig"), "nodes")
     setting = lsh.choose_setting(nodes.select("id", "fp"), distance, t, config.lsh_mode)
     found = lsh.candidates(lsh.explode_bands(nodes, parts, config.bits, setting, "id"))
     a, b = nodes.alias("a"), nodes.alias("b")
