@@ -31,7 +31,7 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT = 20, 30
 #: Signals per thousand words, each with its least distance from the upper quartile.
-SLACK = {"mean_chars": 4000, "symbols": 150, "dup_lines": 50, "repeats": 150}
+SLACK = {"mean_chars": 4000, "symbols": 150, "dup_lines": 80, "repeats": 250}
 SPREAD = 6
 MIN_GROUP = 50
 QUANTILES = (50, 75)
