@@ -10,6 +10,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,19 +34,30 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own[app]}"
 
 
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, tag: str, free: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
-    ``free`` asks the JVM to collect garbage afterwards, so that the shuffle
-    files of the finished job can be removed before the next one starts.
+    ``free`` has Spark remove the job's shuffle files once the table is
+    written; nothing reads them again, since readers go to the table.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/twinsift/{uuid.uuid4().hex}-{tag}"
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    if free:
-        del df
-        spark.sparkContext._jvm.System.gc()
+    with _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", str(free).lower()):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out.twinsift_path = path
     return out
