@@ -17,12 +17,14 @@ Documents are dealt to blocks. A block asks the counting buckets for what its
 own tokens need and receives just those states and arcs:
 
 * unigrams: distinct tokens go to buckets by hash, with their training counts;
-  the buckets add up, and answer each block in the order of its question;
-* n-grams of order 2 and up to ``ORDER``: only those whose first and last n-1
-  words are stored are asked for, by bucket of their context, so the bucket
-  also sees the context's continuations. A context with over 1 / (4 * buckets)
-  of the tokens is spread over all buckets; there are at most 4 * buckets of
-  those, and their partial sums are put together on the driver.
+  the buckets add up, give each token that can be stored a number, and answer
+  each block in the order of its question;
+* n-grams of order 2 and up to ``ORDER``, as (context number, token number):
+  only those whose first and last n-1 words are stored are asked for, by bucket
+  of their context, so the bucket also sees the context's continuations, and
+  numbers what it stores for the next order. A context with over
+  1 / (4 * buckets) of the tokens is spread over all buckets; there are at most
+  4 * buckets of those, and their partial sums are put together on the driver.
 
 Questions and answers are packed arrays (see packing.py). A document is then
 read left to right once: the state after each token is the longest stored
@@ -46,25 +48,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsift.llm.common import crc_mod, documents, let, lower_ascii, power_of_two, text_bytes, text_key, words
-from twinsift.llm.packing import by_bucket, deltas, pack, unpack
+from twinsift.llm.packing import by_bucket, deltas, pack, small, unpack
 from twinsift.plans.workspace import materialize
 
 ORDER = 3
 MIN_COUNT = 2
 DISCOUNT = 0.75
 FOLDS, HELD_OUT = 7, 2
-#: Hashes of the end token, of the start context and of the word that never occurs.
-END, START, NO_WORD = np.uint64(0xE17A1465A5B7C3D1), np.uint64(0xA24BAED4963EE407), np.uint64(0x5851F42D4C957F2D)
-BLOCK_BYTES = 16 << 20
+#: Hash of the end token; no word is read as it.
+END = np.uint64(0xE17A1465A5B7C3D1)
+#: Numbers of the start context and of the word that never occurs; buckets number from 1.
+START, NO_WORD = 0, 1
+BLOCK_BYTES, LEAST_BLOCKS = 6 << 20, 24
 MESSAGE = "bucket int, kind int, block int, payload binary"
 
 
-def _mix(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Hash of a context followed by a word."""
-    x = (context ^ (context >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + word
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(29))
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def _distinct(context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first place of each distinct pair in order of context and word, each place's pair)."""
+    if not len(context):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    order = np.argsort(context * (1 << 32) + word) if max(context.max(), word.max()) < 1 << 31 else np.lexsort((word, context))
+    c, w = context[order], word[order]
+    new = np.concatenate([[True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])])
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
+
+
+def _numbers(stored: np.ndarray, bucket: int, buckets: int) -> np.ndarray:
+    """A number for each stored entry of a bucket that no other bucket gives; 0 for the others."""
+    return np.where(stored, np.cumsum(stored) * buckets + bucket, 0)
 
 
 def _table(rows: list[tuple]) -> pa.Table:
@@ -86,8 +105,7 @@ def encode(docs: DataFrame, blocks: int, buckets: int) -> DataFrame:
     rows = docs.select(
         F.pmod(F.xxhash64("doc_id", key), F.lit(blocks)).cast("int").alias("block"), F.col("doc_id").cast("long").alias("doc_id"), train.alias("train"),
         lower_ascii(F.coalesce("text", F.lit(""))).alias("text"),
-    ).repartition(blocks, "block")
-    # the words of a text are hashed by the task that tokenises, so that the shuffle moves text
+    ).repartition(blocks, "block")  # so that the shuffle moves text, and words are hashed behind it
     tokens = rows.select("block", "doc_id", "train", let(words(F.col("text")), lambda w: F.transform(w, lambda x: F.xxhash64(x))).alias("h"))
 
     def run(group: pa.Table) -> pa.Table:
@@ -104,115 +122,126 @@ def encode(docs: DataFrame, blocks: int, buckets: int) -> DataFrame:
         inner[ends] = False
         stream[inner] = values
         vocabulary, index = np.unique(stream, return_inverse=True)
+        frequent = np.argsort(-np.bincount(index), kind="stable")  # small indices for frequent tokens
+        rank = np.empty(len(frequent), np.int64)
+        rank[frequent] = np.arange(len(frequent))
+        vocabulary, index = vocabulary[frequent], rank[index]
         train = group["train"].to_numpy()
         counts = np.bincount(index[np.repeat(train, n + 1)], minlength=len(vocabulary)).astype(np.uint32)
         block = group["block"][0].as_py()
         doc = group["doc_id"]
         ids, none = doc.fill_null(0).to_numpy(), doc.is_null().to_numpy()
-        out = [(-1, 0, block, pack(vocabulary, index.astype(np.uint32), (n + 1).astype(np.int64), train.astype(np.uint8), ids, none.astype(np.uint8)))]
+        out = [(-1, 0, block, pack(vocabulary, small(index), (n + 1).astype(np.int64), train.astype(np.uint8), ids, none.astype(np.uint8)))]
         order, bounds = by_bucket((vocabulary & np.uint64(buckets - 1)).astype(np.int64), buckets)
         for k in range(buckets):
             at = order[bounds[k] : bounds[k + 1]]
             if len(at):
-                out.append((k, 1, block, pack(vocabulary[at], counts[at])))
+                out.append((k, 1, block, pack(vocabulary[at], small(counts[at]))))
         return _table(out)
 
     return tokens.groupBy("block").applyInArrow(run, MESSAGE)
 
 
 class Block:
-    """A block with the answers that have come so far."""
+    """A block with the answers that have come so far.
+
+    ``hot`` has the (mass, number of continuations) of hot contexts by order
+    and context, and under "start" how often the start context occurs.
+    """
 
-    def __init__(self, rows: pa.Table, buckets: int, order: int, n_tokens: int, hot: dict[int, tuple[int, int]]):
+    def __init__(self, rows: pa.Table, buckets: int, order: int, n_tokens: int, hot: dict):
         by_kind: dict[int, dict[int, bytes]] = {}
         for bucket, kind, payload in zip(*(rows[c].to_pylist() for c in ("bucket", "kind", "payload")), strict=True):
             by_kind.setdefault(kind, {})[bucket] = payload
         self.vocabulary, index, self.n, train, self.ids, self.none = unpack(by_kind[0][-1])
         self.index, self.train = index.astype(np.int64), train.astype(bool)
         self.buckets, self.n_tokens = buckets, n_tokens
-        counts = np.zeros(len(self.vocabulary), np.int64)
+        counts, numbers = (np.zeros(len(self.vocabulary), np.int64) for _ in range(2))
         sort, bounds = by_bucket((self.vocabulary & np.uint64(buckets - 1)).astype(np.int64), buckets)
         for k, payload in by_kind[1].items():
-            counts[sort[bounds[k] : bounds[k + 1]]] = unpack(payload)[0]
+            at = sort[bounds[k] : bounds[k + 1]]
+            counts[at], numbers[at] = unpack(payload)
         self.counts = counts
-        token = self.vocabulary[self.index]
+        word = numbers[self.index]
         first = np.cumsum(self.n) - self.n
-        self.place = np.arange(len(token)) - np.repeat(first, self.n)
         self.in_train = np.repeat(self.train, self.n)
-        start_count = hot.get("start", 0)
-        # levels[k]: for every position, whether its (k+2)-gram is stored, its count, its context's count and mass
+        # for each order: what every position's n-gram and its context have
         self.levels = []
-        self.token = token
-        # contexts of one word: the word before, or the start
-        context = np.empty(len(token), np.uint64)
-        context[1:] = token[:-1]
-        context[first] = START
-        total = np.empty(len(token), np.int64)
-        total[1:] = counts[self.index[:-1]]
-        total[first] = start_count
-        known = total >= MIN_COUNT
-        word_known = counts[self.index] >= MIN_COUNT
+        before = lambda x, at_start: np.where(starts, at_start, np.concatenate([x[:1], x[:-1]]))
+        starts = np.zeros(len(word), bool)
+        starts[first] = True
+        # the context of one word: the word before, or the start
+        context, total = before(word, START), before(counts[self.index], hot.get("start", 0))
+        known, possible = total >= MIN_COUNT, word > 0
         for level in range(2, order + 1):
-            q = self.question(context, token, known, word_known, total)
+            q = self.question(context, word, known, possible, total)
             if level not in by_kind:
                 self.asked = q
                 return
-            got = self.answer(q, by_kind[level], hot)
-            self.levels.append((known, total, *got))
-            stored = got[0] >= MIN_COUNT
-            # the context of the next level: this n-gram, one position back
-            nxt, nxt_total, nxt_known = np.full(len(token), START, np.uint64), np.zeros(len(token), np.int64), np.zeros(len(token), bool)
-            nxt[1:], nxt_total[1:], nxt_known[1:] = _mix(context, token)[:-1], got[0][:-1], stored[:-1]
-            nxt_known[first] = False
-            context, total, known, word_known = nxt, nxt_total, nxt_known, stored
-
-    def question(self, context, token, known, word_known, total):
+            count, number, mass, kinds = self.answer(level, q, by_kind[level], hot)
+            self.levels.append((known, total, count, mass, kinds))
+            # the next order's context is this n-gram, one position back
+            context, total = before(number, START), before(count, 0)
+            known, possible = total >= MIN_COUNT, count >= MIN_COUNT
+
+    def question(self, context, word, known, possible, total):
         """Distinct (context, word) pairs by bucket; hot contexts are spread by word.
 
         A word that cannot continue its context stands as ``NO_WORD``, which
         occurs zero times, so that the context's mass is answered all the same.
         """
         at = np.flatnonzero(known)
-        possible = word_known[at]
-        gram = _mix(context[at], np.where(possible, token[at], NO_WORD))
-        _, one, inverse = np.unique(gram, return_index=True, return_inverse=True)
-        context, gram, total = context[at][one], gram[one], total[at][one]
-        count = np.bincount(inverse[self.in_train[at] & possible], minlength=len(one)).astype(np.uint32)
+        possible = possible[at]
+        context, word, total = context[at], np.where(possible, word[at], NO_WORD), total[at]
+        one, which = _distinct(context, word)
+        count = np.bincount(which[self.in_train[at] & possible], minlength=len(one))
+        context, word, total = context[one], word[one], total[one]
         hot = total * 4 * self.buckets > self.n_tokens
-        bucket = (np.where(hot, gram, _mix(context, np.full_like(context, START))) & np.uint64(self.buckets - 1)).astype(np.int64)
-        return at, inverse, context, gram, count, hot, bucket
+        bucket = (_mix(context + np.where(hot, word << 20, 0)) & np.uint64(self.buckets - 1)).astype(np.int64)
+        order, bounds = by_bucket(bucket, self.buckets)
+        return at, which, context, word, count, hot, order, bounds
 
     def messages(self, level: int, block: int) -> list[tuple]:
-        _, _, context, gram, count, hot, bucket = self.asked
-        order = np.lexsort((gram, context, bucket))
-        bounds = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
+        _, _, context, word, count, hot, order, bounds = self.asked
         out = []
         for k in range(self.buckets):
-            at = order[bounds[k] : bounds[k + 1]]
+            at = order[bounds[k] : bounds[k + 1]]  # still in order of context and word
             if len(at):
-                c = context[at]
+                c, w = context[at], word[at]
                 head = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-                out.append((k, level, block, pack(c[head], np.diff(np.append(head, len(c))).astype(np.uint32), hot[at][head].astype(np.uint8), gram[at], count[at])))
+                step = np.diff(w, prepend=0)
+                step[head] = w[head]
+                out.append((k, level, block, pack(deltas(c[head]), small(np.diff(np.append(head, len(c)))), hot[at][head].astype(np.uint8), small(step), small(count[at]))))
         return out
 
-    def answer(self, q, payloads, hot):
-        """For every position: count of its n-gram, stored mass and number of continuations of its context."""
-        at, inverse, context, gram, _, is_hot, bucket = q
-        order = np.lexsort((gram, context, bucket))
-        bounds = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
-        found, mass, kinds = (np.zeros(len(context), np.int64) for _ in range(3))
+    def answer(self, level, q, payloads, hot):
+        """For every position: count and number of its n-gram, stored mass and continuations of its context."""
+        at, which, context, _, _, is_hot, order, bounds = q
+        found = [np.zeros(len(context), np.int64) for _ in range(4)]
         for k, payload in payloads.items():
             rows = order[bounds[k] : bounds[k + 1]]
-            n, count, m, d = unpack(payload)
-            found[rows], mass[rows], kinds[rows] = count, np.repeat(m, n), np.repeat(d, n)
-        for i in np.flatnonzero(is_hot):
-            mass[i], kinds[i] = hot.get(int(context[i]), (0, 0))
-        out = [np.zeros(len(self.token), np.int64) for _ in range(3)]
-        for o, x in zip(out, (found, mass, kinds), strict=True):
-            o[at] = x[inverse]
+            n, count, number, mass, kinds = unpack(payload)
+            for f, x in zip(found, (count, number, np.repeat(mass, n), np.repeat(kinds, n)), strict=True):
+                f[rows] = x
+        heads = np.flatnonzero(is_hot)
+        for i in heads:
+            found[2][i], found[3][i] = hot.get((level, int(context[i])), (0, 0))
+        out = [np.zeros(len(self.index), np.int64) for _ in range(4)]
+        for o, f in zip(out, found, strict=True):
+            o[at] = f[which]
         return out
 
 
+def _asked(payload: bytes) -> tuple[np.ndarray, ...]:
+    """(contexts, number of words of each, hot, context and word of each pair, counts) of a question."""
+    c, n, hot, step, count = unpack(payload)
+    c, n = np.cumsum(c, dtype=np.int64), n.astype(np.int64)
+    total = np.cumsum(step, dtype=np.int64)
+    head = np.cumsum(n) - n
+    word = total - np.repeat(total[head] - step[head], n)
+    return c, n, hot, np.repeat(c, n), word, count.astype(np.int64)
+
+
 def ask(state: DataFrame, level: int, buckets: int, n_tokens: int, hot: dict) -> DataFrame:
     """The blocks' questions about n-grams of order ``level``."""
 
@@ -226,16 +255,18 @@ def ask(state: DataFrame, level: int, buckets: int, n_tokens: int, hot: dict) ->
 # --- buckets --------------------------------------------------------------------------------------------------
 
 
-def answer_tokens(questions: DataFrame) -> DataFrame:
-    """Training counts of tokens (kind 1), and the bucket's distinct tokens and their sum (kind -1)."""
+def answer_tokens(questions: DataFrame, buckets: int) -> DataFrame:
+    """Training counts and numbers of tokens (kind 1), and the bucket's distinct tokens and their sum (kind -1)."""
 
     def run(group: pa.Table) -> pa.Table:
         asked = [unpack(p) for p in group["payload"].to_pylist()]
         keys, inverse = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
         total = np.bincount(inverse, np.concatenate([a[1] for a in asked]), len(keys)).astype(np.int64)
         bucket, out, at = group["bucket"][0].as_py(), [], 0
+        number = _numbers(total >= MIN_COUNT, bucket, buckets)
         for block, a in zip(group["block"].to_pylist(), asked, strict=True):
-            out.append((bucket, 1, block, pack(total[inverse[at : at + len(a[0])]].astype(np.uint64))))
+            mine = inverse[at : at + len(a[0])]
+            out.append((bucket, 1, block, pack(small(total[mine]), small(number[mine]))))
             at += len(a[0])
         out.append((bucket, -1, -1, pack(np.array([np.count_nonzero(total), total.sum()], np.int64))))
         return _table(out)
@@ -243,29 +274,30 @@ def answer_tokens(questions: DataFrame) -> DataFrame:
     return questions.groupBy("bucket").applyInArrow(run, MESSAGE)
 
 
-def answer_grams(questions: DataFrame, level: int) -> DataFrame:
-    """Counts of n-grams with the stored mass of their contexts (kind ``level``), and parts of hot contexts (kind -1)."""
+def answer_grams(questions: DataFrame, level: int, buckets: int) -> DataFrame:
+    """Counts and numbers of n-grams with the stored mass of their contexts (kind ``level``), and parts of hot contexts (kind -1)."""
 
     def run(group: pa.Table) -> pa.Table:
-        asked = [unpack(p) for p in group["payload"].to_pylist()]
-        grams, one, inverse = np.unique(np.concatenate([a[3] for a in asked]), return_index=True, return_inverse=True)
-        total = np.bincount(inverse, np.concatenate([a[4] for a in asked]), len(grams)).astype(np.int64)
-        context = np.concatenate([np.repeat(a[0], a[1]) for a in asked])[one]
-        hot = np.concatenate([np.repeat(a[2], a[1]) for a in asked])[one].astype(bool)
+        asked = [_asked(p) for p in group["payload"].to_pylist()]
+        context, word, count = (np.concatenate([a[i] for a in asked]) for i in (3, 4, 5))
+        hot = np.concatenate([np.repeat(a[2], a[1]) for a in asked]).astype(bool)
+        one, which = _distinct(context, word)
+        total = np.bincount(which, count, len(one)).astype(np.int64)
+        context, hot = context[one], hot[one]
         stored = total >= MIN_COUNT
-        names, which = np.unique(context, return_inverse=True)
-        mass = np.bincount(which[stored], total[stored], len(names)).astype(np.int64)
-        kinds = np.bincount(which[stored], minlength=len(names))
-        bucket, out, at = group["bucket"][0].as_py(), [], 0
+        bucket = group["bucket"][0].as_py()
+        number = _numbers(stored, bucket, buckets)
+        names, at_name = np.unique(context, return_inverse=True)
+        mass = np.bincount(at_name[stored], total[stored], len(names)).astype(np.int64)
+        kinds = np.bincount(at_name[stored], minlength=len(names))
+        out, at = [], 0
         for block, a in zip(group["block"].to_pylist(), asked, strict=True):
-            mine = np.searchsorted(names, a[0])
-            count = total[inverse[at : at + len(a[3])]]
-            out.append((bucket, level, block, pack(a[1], np.where(count >= MIN_COUNT, count, 0).astype(np.uint32), mass[mine].astype(np.uint32 if mass.max(initial=0) < 1 << 32 else np.int64), kinds[mine].astype(np.uint32))))
-            at += len(a[3])
+            name, mine = np.searchsorted(names, a[0]), which[at : at + len(a[4])]
+            out.append((bucket, level, block, pack(small(a[1]), small(np.where(stored[mine], total[mine], 0)), small(number[mine]), small(mass[name]), small(kinds[name]))))
+            at += len(a[4])
         if hot.any():
-            names_hot = np.unique(context[hot])
-            mine = np.searchsorted(names, names_hot)
-            out.append((bucket, -1, -1, pack(names_hot, mass[mine], kinds[mine])))
+            mine = np.unique(at_name[hot])
+            out.append((bucket, -1, -1, pack(names[mine], mass[mine], kinds[mine])))
         return _table(out)
 
     return questions.groupBy("bucket").applyInArrow(run, MESSAGE)
@@ -295,11 +327,11 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """Train on the training folds of ``docs`` and score every document."""
     size = text_bytes(docs)
-    blocks = max(64, math.ceil(size / BLOCK_BYTES))
+    blocks = max(LEAST_BLOCKS, math.ceil(size / BLOCK_BYTES))
     buckets = power_of_two(size / (16 << 20), 64, 1 << 14)
     encoded = materialize(encode(docs, blocks, buckets), "blocks", free=True)
     state = encoded.filter("kind = 0")
-    replies = materialize(answer_tokens(encoded.filter("kind = 1")), "tokens", free=True)
+    replies = materialize(answer_tokens(encoded.filter("kind = 1"), buckets), "tokens", free=True)
     # a row for each bucket
     parts = [unpack(r["payload"])[0] for r in replies.filter("kind = -1").select("payload").collect()]
     n_types, n_tokens = (int(sum(p[i] for p in parts)) for i in (0, 1))
@@ -307,11 +339,11 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     hot: dict = {"start": starts}
     state = state.union(replies.filter("kind = 1"))
     for level in range(2, order + 1):
-        replies = materialize(answer_grams(ask(state, level, buckets, n_tokens, hot), level), f"grams{level}", free=True)
+        replies = materialize(answer_grams(ask(state, level, buckets, n_tokens, hot), level, buckets), f"grams{level}", free=True)
         for r in replies.filter("kind = -1").select("payload").collect():  # at most 4 * buckets contexts
             for name, m, d in zip(*(x.tolist() for x in unpack(r["payload"])), strict=True):
-                before = hot.get(name, (0, 0))
-                hot[name] = (before[0] + m, before[1] + d)
+                before = hot.get((level, name), (0, 0))
+                hot[level, name] = (before[0] + m, before[1] + d)
         state = state.union(replies.filter(F.col("kind") == level))
     known = dict(hot)
 

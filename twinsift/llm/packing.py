@@ -17,10 +17,10 @@ _ZSTD = pa.Codec("zstd", compression_level=1)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays, compressed, with what :func:`unpack` needs to read them."""
+    """Arrays, compressed byte by byte of their values, with what :func:`unpack` needs to read them."""
     head, body = [len(arrays)], []
     for a in arrays:
-        raw = np.ascontiguousarray(a).view(np.uint8).reshape(-1)
+        raw = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.reshape(-1)
         small = _ZSTD.compress(raw.tobytes(), asbytes=True) if raw.nbytes else b""
         stored = small if len(small) < raw.nbytes else raw.tobytes()
         head += [ord(a.dtype.kind), a.dtype.itemsize, len(a), len(stored)]
@@ -36,15 +36,20 @@ def unpack(data: bytes) -> list[np.ndarray]:
         raw = data[at : at + stored]
         if stored < item * size:
             raw = _ZSTD.decompress(raw, item * size, asbytes=True)
-        out.append(np.frombuffer(raw, np.dtype(f"{chr(kind)}{item}")))
+        planes = np.frombuffer(raw, np.uint8).reshape(item, size)
+        out.append(np.ascontiguousarray(planes.T).view(np.dtype(f"{chr(kind)}{item}")).reshape(size))
         at += stored
     return out
 
 
+def small(values: np.ndarray) -> np.ndarray:
+    """Values of zero or more in the smallest unsigned type that holds them."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
+
+
 def deltas(sorted_: np.ndarray) -> np.ndarray:
     """Differences of an array, in the smallest unsigned type that holds them; undone by cumsum."""
-    d = np.diff(sorted_, prepend=sorted_.dtype.type(0))
-    return d.astype(np.min_scalar_type(int(d.max(initial=0))))
+    return small(np.diff(sorted_, prepend=sorted_.dtype.type(0)))
 
 
 def by_bucket(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
