@@ -47,26 +47,31 @@ def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
-def materialize(df: DataFrame, tag: str, free: bool = False) -> DataFrame:
+def materialize(df: DataFrame, tag: str, free: bool = False, parts: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
-    ``free`` has Spark remove the job's shuffle files once the table is
+    ``parts`` names a column whose values get a folder each, so that one can be
+    discarded before the rest. ``free`` has Spark remove the job's shuffle files once the table is
     written; nothing reads them again, since readers go to the table.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/twinsift/{uuid.uuid4().hex}-{tag}"
     schema = df.schema
     with _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", str(free).lower()):
-        df.write.option("compression", "zstd").parquet(path)
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(parts) if parts else writer).parquet(path)
     out = spark.read.schema(schema).parquet(path)
+    if parts:
+        out = out.select(*schema.names)  # partition columns are read last
     out.twinsift_path = path
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Remove a table made by :func:`materialize` that nothing reads any more."""
+def discard(df: DataFrame, part: str | None = None) -> None:
+    """Remove a table made by :func:`materialize`, or the part ``column=value`` of it, that nothing reads any more."""
     path = getattr(df, "twinsift_path", None)
     if path:
+        path = f"{path}/{part}" if part else path
         spark = df.sparkSession
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
