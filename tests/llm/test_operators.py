@@ -199,12 +199,15 @@ def test_chat_events_fold(spark):
 
 
 def test_line_simhash_is_a_majority(spark):
+    import xxhash
+
     rng = random.Random(4)
-    for n in (1, 2, 7, 200):
-        h = [rng.getrandbits(64) for _ in range(n)]
-        signed = [x - (1 << 64) if x >> 63 else x for x in h]
-        got = spark.range(1).select(lines.simhash(F.array(*[F.lit(x).cast("long") for x in signed]))).first()[0] % 2**64
-        assert got == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > n)
+    norms = [" ".join(rng.choices(["aa", "b", "cde", "f", "gh"], k=k)) for k in (1, 2, 7, 200)]
+    df = spark.createDataFrame(list(enumerate(norms)), "node long, norm string")
+    got = {r["node"]: r["sim"] % 2**64 for r in lines.simhashes(df).collect()}
+    for i, norm in enumerate(norms):
+        h = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in norm.split()]
+        assert got[i] == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
 def test_block_keys_keep_every_near_pair():
@@ -226,6 +229,20 @@ def levenshtein(a, b):
     return row[-1]
 
 
+def test_edit_bound_is_the_edit_distance(spark):
+    rng = random.Random(8)
+    rows = []
+    for _ in range(300):
+        a = rng.choices(["ab", "abc", "b", "xyz", "q"], k=rng.randint(1, 9))
+        b = list(a)
+        for _ in range(rng.randint(0, 3)):
+            b.insert(rng.randrange(len(b) + 1), rng.choice(["ab", "q", "zz"])) if rng.random() < 0.5 else b.pop(rng.randrange(len(b))) if len(b) > 1 else None
+        rows.append((" ".join(a), " ".join(b), rng.randint(0, 9)))
+    df = spark.createDataFrame(rows, "a string, b string, most int")
+    got = [r[0] for r in df.select(lines._within(F.col("a"), F.col("b"), F.col("most"))).collect()]
+    assert got == [levenshtein(a, b) <= m for a, b, m in rows]
+
+
 def test_line_dedup(spark, docs, empty):
     base = "the quick brown fox jumps over the lazy dog and then runs back to the quiet old forest near the wide river where it sleeps all day"
     near = base.replace("wide", "wild")
