@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from twinsift.llm.common import crc_mod, documents, let, lower_ascii, power_of_two, text_bytes, text_key, words
 from twinsift.llm.packing import by_bucket, deltas, pack, small, unpack
-from twinsift.plans.workspace import materialize
+from twinsift.plans.workspace import discard, materialize
 
 ORDER = 3
 MIN_COUNT = 2
@@ -220,9 +220,14 @@ class Block:
         found = [np.zeros(len(context), np.int64) for _ in range(4)]
         for k, payload in payloads.items():
             rows = order[bounds[k] : bounds[k + 1]]
-            n, count, number, mass, kinds = unpack(payload)
-            for f, x in zip(found, (count, number, np.repeat(mass, n), np.repeat(kinds, n)), strict=True):
-                f[rows] = x
+            stored, count, number, mass, kinds = unpack(payload)
+            hits = rows[np.unpackbits(stored, count=len(rows)).astype(bool)]
+            c = context[rows]
+            n = np.diff(np.append(np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])), len(c)))
+            found[0][hits] = count
+            if len(number):
+                found[1][hits] = np.cumsum(number, dtype=np.int64)
+            found[2][rows], found[3][rows] = np.repeat(mass, n), np.repeat(kinds, n)
         heads = np.flatnonzero(is_hot)
         for i in heads:
             found[2][i], found[3][i] = hot.get((level, int(context[i])), (0, 0))
@@ -274,8 +279,9 @@ def answer_tokens(questions: DataFrame, buckets: int) -> DataFrame:
     return questions.groupBy("bucket").applyInArrow(run, MESSAGE)
 
 
-def answer_grams(questions: DataFrame, level: int, buckets: int) -> DataFrame:
-    """Counts and numbers of n-grams with the stored mass of their contexts (kind ``level``), and parts of hot contexts (kind -1)."""
+def answer_grams(questions: DataFrame, level: int, buckets: int, last: bool) -> DataFrame:
+    """Which n-grams are stored, their counts and, unless ``last``, numbers, with the stored mass of their contexts
+    (kind ``level``), and parts of hot contexts (kind -1)."""
 
     def run(group: pa.Table) -> pa.Table:
         asked = [_asked(p) for p in group["payload"].to_pylist()]
@@ -293,7 +299,10 @@ def answer_grams(questions: DataFrame, level: int, buckets: int) -> DataFrame:
         out, at = [], 0
         for block, a in zip(group["block"].to_pylist(), asked, strict=True):
             name, mine = np.searchsorted(names, a[0]), which[at : at + len(a[4])]
-            out.append((bucket, level, block, pack(small(a[1]), small(np.where(stored[mine], total[mine], 0)), small(number[mine]), small(mass[name]), small(kinds[name]))))
+            # numbers rise with context and word, as the question does
+            hits = mine[stored[mine]]
+            numbers = deltas(number[hits]) if not last else hits[:0]
+            out.append((bucket, level, block, pack(np.packbits(stored[mine]), small(total[hits]), numbers, small(mass[name]), small(kinds[name]))))
             at += len(a[4])
         if hot.any():
             mine = np.unique(at_name[hot])
@@ -329,9 +338,10 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     size = text_bytes(docs)
     blocks = max(LEAST_BLOCKS, math.ceil(size / BLOCK_BYTES))
     buckets = power_of_two(size / (16 << 20), 64, 1 << 14)
-    encoded = materialize(encode(docs, blocks, buckets), "blocks", free=True)
+    encoded = materialize(encode(docs, blocks, buckets), "blocks", free=True, parts="kind")
     state = encoded.filter("kind = 0")
     replies = materialize(answer_tokens(encoded.filter("kind = 1"), buckets), "tokens", free=True)
+    discard(encoded, "kind=1")
     # a row for each bucket
     parts = [unpack(r["payload"])[0] for r in replies.filter("kind = -1").select("payload").collect()]
     n_types, n_tokens = (int(sum(p[i] for p in parts)) for i in (0, 1))
@@ -339,7 +349,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     hot: dict = {"start": starts}
     state = state.union(replies.filter("kind = 1"))
     for level in range(2, order + 1):
-        replies = materialize(answer_grams(ask(state, level, buckets, n_tokens, hot), level, buckets), f"grams{level}", free=True)
+        replies = materialize(answer_grams(ask(state, level, buckets, n_tokens, hot), level, buckets, level == order), f"grams{level}", free=True)
         for r in replies.filter("kind = -1").select("payload").collect():  # at most 4 * buckets contexts
             for name, m, d in zip(*(x.tolist() for x in unpack(r["payload"])), strict=True):
                 before = hot.get((level, name), (0, 0))
