@@ -54,14 +54,14 @@ def phrases(benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, Data
     return each.select("phrase", "words").dropDuplicates(["phrase"]), each.select("phrase", "item_id").distinct()
 
 
-def term_filter(terms: DataFrame) -> list[int]:
-    """The bitmap of the terms' hashes as 32-bit words: FILTER_BITS bits, whatever the terms."""
+def term_filter(terms: DataFrame) -> Column:
+    """The bitmap of the terms' hashes as one literal of 32-bit words: FILTER_BITS bits, whatever the terms."""
     bit = F.pmod(F.xxhash64("term"), F.lit(FILTER_BITS))
     words = terms.select(F.floor(bit / 32).cast("int").alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 32).cast("int")).alias("bit"))
     out = [0] * (FILTER_BITS // 32)
     for row in words.groupBy("at").agg(F.bit_or("bit").alias("bits")).collect():
         out[row["at"]] = row["bits"]
-    return out
+    return F.expr(f"cast(split('{','.join(map(str, out))}', ',') as array<bigint>)")  # folded by the optimizer
 
 
 def _in_filter(bits: Column, word: Column) -> Column:
@@ -73,8 +73,10 @@ def _in_filter(bits: Column, word: Column) -> Column:
 def rarest(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(phrase, words, lead, second): offsets of the two rarest words of each phrase."""
     terms = found.select(F.explode("words").alias("term")).distinct()
-    tokens = docs.select(F.explode(test_words(F.col("text"))).alias("term"))
-    counts = tokens.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    bits = term_filter(terms)
+    tokens = docs.select(F.explode(F.filter(test_words(F.col("text")), lambda w: _in_filter(bits, w))).alias("term"))
+    # counted before the join, so that a frequent term is a row for each task
+    counts = tokens.groupBy("term").agg(F.count("*").alias("df")).join(terms, "term", "left_semi")
     each = found.select("phrase", F.posexplode("words").alias("at", "term"))
     ranked = each.join(counts, "term", "left").groupBy("phrase").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "at", "term"))).alias("r"))
     second = F.get(F.filter("r", lambda x: x["term"] != F.get("r", F.lit(0))["term"]), F.lit(0))
@@ -87,7 +89,7 @@ def build_index(docs: DataFrame, terms: DataFrame, window: int = WINDOW) -> Data
     ``around`` holds up to ``window`` - 1 words to either side of the posting
     and ``left`` says how many stand before it.
     """
-    bits = F.expr(f"cast(split('{','.join(map(str, term_filter(terms)))}', ',') as array<bigint>)")  # folded into one literal
+    bits = term_filter(terms)
     side = window - 1
 
     def hits(w: Column, filter_: Column) -> Column:
@@ -97,7 +99,7 @@ def build_index(docs: DataFrame, terms: DataFrame, window: int = WINDOW) -> Data
 
     found = F.explode(let(test_words(F.col("text")), lambda w: hits(w, bits))).alias("p")
     postings = docs.select("doc_id", text_key(F.col("text")).alias("key"), found).select("doc_id", "key", "p.*")
-    return materialize(postings.join(terms, "term", "left_semi").dropDuplicates(["term", "doc_id", "key", "pos"]), "postings")
+    return materialize(postings.join(terms, "term", "left_semi"), "postings", free=True)
 
 
 def search(index: DataFrame, looked_up: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -107,6 +109,7 @@ def search(index: DataFrame, looked_up: DataFrame, window: int = WINDOW) -> Data
     lead = lead.withColumn("start", F.col("pos") - F.col("at"))
     second = p.filter("second IS NOT NULL").select("phrase", F.col("second.term").alias("term"), F.col("second.at").alias("at")).join(index, "term")
     second = second.select("phrase", "doc_id", "key", (F.col("pos") - F.col("at")).alias("start"))
+    second = second.distinct()  # repeated documents have repeated postings
     both = lead.filter("second IS NOT NULL").alias("x").join(second.alias("y"), F.expr("x.phrase = y.phrase AND x.doc_id <=> y.doc_id AND x.key = y.key AND x.start = y.start")).select("x.*")
     n = F.size("words")
     here = F.slice("around", F.greatest(F.col("left") - F.col("at") + 1, F.lit(1)), n)
@@ -124,7 +127,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     found, of_item = materialize(found, "phrases"), materialize(of_item, "items")
     looked_up = materialize(rarest(rows, found), "rarest")
     terms = looked_up.select(F.col("lead.term").alias("term")).union(looked_up.filter("second IS NOT NULL").select("second.term")).distinct()
-    matches = materialize(search(build_index(rows, terms, window), looked_up, window), "matches")
+    matches = materialize(search(build_index(rows, terms, window), looked_up, window).distinct(), "matches", free=True)
     exact = matches.filter("exact")
     doc = ["doc_id", "key"]
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
