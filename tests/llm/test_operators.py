@@ -328,6 +328,15 @@ def test_lm_is_normalised(spark):
     assert all(math.isclose(got[held[k]], ends[w]) for k, w in enumerate(vocab))
 
 
+def test_lm_query_stores_every_ngram(spark, sf):
+    """The registered query's scores are those of a model that drops no n-gram for being rare."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    want = {r["doc_id"]: w for r, w in zip(d, brute.language_model([tuple(r) for r in d], least=1), strict=True)}
+    got = {r["doc_id"]: (r["base_score"], r["score"]) for r in lm_scoring.op6_lm_scoring(spark, sf).collect()}
+    assert got.keys() == want.keys()
+    assert all(np.allclose(got[i], want[i][3:], rtol=1e-9) for i in want)
+
+
 # --- 7 simhash ------------------------------------------------------------------------------------------------
 
 

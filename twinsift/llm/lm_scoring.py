@@ -8,9 +8,9 @@ context without its first word, whose weight is the discounted mass:
     arc(h, w)  = (c(hw) - D) / c(h) + fail(h) * P(w | h')
     fail(h)    = 1 - (mass of stored continuations of h - D * their number) / c(h)
 
-An n-gram of two or more words is stored if it occurs ``MIN_COUNT`` times; a
-context's discounted mass includes those that are not. Probabilities of all
-tokens after any history sum to one.
+An n-gram of two or more words is stored if it occurs ``least`` times; a
+context's discounted mass includes those that are not. The query stores all
+(``least`` 1). Probabilities of all tokens after any history sum to one.
 
 The automaton covers the whole training corpus, so no task holds all of it.
 Documents are dealt to blocks. A block asks the counting buckets for what its
@@ -52,6 +52,7 @@ from twinsift.llm.packing import by_bucket, deltas, pack, small, unpack
 from twinsift.plans.workspace import discard, materialize
 
 ORDER = 3
+#: Least count of a stored n-gram, unless the caller gives another.
 MIN_COUNT = 2
 DISCOUNT = 0.75
 FOLDS, HELD_OUT = 7, 2
@@ -149,13 +150,13 @@ class Block:
     and context, and under "start" how often the start context occurs.
     """
 
-    def __init__(self, rows: pa.Table, buckets: int, order: int, n_tokens: int, hot: dict):
+    def __init__(self, rows: pa.Table, buckets: int, order: int, n_tokens: int, hot: dict, least: int):
         by_kind: dict[int, dict[int, bytes]] = {}
         for bucket, kind, payload in zip(*(rows[c].to_pylist() for c in ("bucket", "kind", "payload")), strict=True):
             by_kind.setdefault(kind, {})[bucket] = payload
         self.vocabulary, index, self.n, train, self.ids, self.none = unpack(by_kind[0][-1])
         self.index, self.train = index.astype(np.int64), train.astype(bool)
-        self.buckets, self.n_tokens = buckets, n_tokens
+        self.buckets, self.n_tokens, self.least = buckets, n_tokens, least
         counts, numbers = (np.zeros(len(self.vocabulary), np.int64) for _ in range(2))
         sort, bounds = by_bucket((self.vocabulary & np.uint64(buckets - 1)).astype(np.int64), buckets)
         for k, payload in by_kind[1].items():
@@ -172,7 +173,7 @@ class Block:
         starts[first] = True
         # the context of one word: the word before, or the start
         context, total = before(word, START), before(counts[self.index], hot.get("start", 0))
-        known, possible = total >= MIN_COUNT, word > 0
+        known, possible = total >= least, word > 0
         for level in range(2, order + 1):
             q = self.question(context, word, known, possible, total)
             if level not in by_kind:
@@ -182,7 +183,7 @@ class Block:
             self.levels.append((known, total, count, mass, kinds))
             # the next order's context is this n-gram, one position back
             context, total = before(number, START), before(count, 0)
-            known, possible = total >= MIN_COUNT, count >= MIN_COUNT
+            known, possible = total >= least, count >= least
 
     def question(self, context, word, known, possible, total):
         """Distinct (context, word) pairs by bucket; hot contexts are spread by word.
@@ -247,11 +248,11 @@ def _asked(payload: bytes) -> tuple[np.ndarray, ...]:
     return c, n, hot, np.repeat(c, n), word, count.astype(np.int64)
 
 
-def ask(state: DataFrame, level: int, buckets: int, n_tokens: int, hot: dict) -> DataFrame:
+def ask(state: DataFrame, level: int, buckets: int, n_tokens: int, hot: dict, least: int) -> DataFrame:
     """The blocks' questions about n-grams of order ``level``."""
 
     def run(group: pa.Table) -> pa.Table:
-        block = Block(group, buckets, level, n_tokens, hot)
+        block = Block(group, buckets, level, n_tokens, hot, least)
         return _table(block.messages(level, group["block"][0].as_py()))
 
     return state.groupBy("block").applyInArrow(run, MESSAGE)
@@ -260,7 +261,7 @@ def ask(state: DataFrame, level: int, buckets: int, n_tokens: int, hot: dict) ->
 # --- buckets --------------------------------------------------------------------------------------------------
 
 
-def answer_tokens(questions: DataFrame, buckets: int) -> DataFrame:
+def answer_tokens(questions: DataFrame, buckets: int, least: int) -> DataFrame:
     """Training counts and numbers of tokens (kind 1), and the bucket's distinct tokens and their sum (kind -1)."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -268,7 +269,7 @@ def answer_tokens(questions: DataFrame, buckets: int) -> DataFrame:
         keys, inverse = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
         total = np.bincount(inverse, np.concatenate([a[1] for a in asked]), len(keys)).astype(np.int64)
         bucket, out, at = group["bucket"][0].as_py(), [], 0
-        number = _numbers(total >= MIN_COUNT, bucket, buckets)
+        number = _numbers(total >= least, bucket, buckets)
         for block, a in zip(group["block"].to_pylist(), asked, strict=True):
             mine = inverse[at : at + len(a[0])]
             out.append((bucket, 1, block, pack(small(total[mine]), small(number[mine]))))
@@ -279,7 +280,7 @@ def answer_tokens(questions: DataFrame, buckets: int) -> DataFrame:
     return questions.groupBy("bucket").applyInArrow(run, MESSAGE)
 
 
-def answer_grams(questions: DataFrame, level: int, buckets: int, last: bool) -> DataFrame:
+def answer_grams(questions: DataFrame, level: int, buckets: int, last: bool, least: int) -> DataFrame:
     """Which n-grams are stored, their counts and, unless ``last``, numbers, with the stored mass of their contexts
     (kind ``level``), and parts of hot contexts (kind -1)."""
 
@@ -290,7 +291,7 @@ def answer_grams(questions: DataFrame, level: int, buckets: int, last: bool) ->
         one, which = _distinct(context, word)
         total = np.bincount(which, count, len(one)).astype(np.int64)
         context, hot = context[one], hot[one]
-        stored = total >= MIN_COUNT
+        stored = total >= least
         bucket = group["bucket"][0].as_py()
         number = _numbers(stored, bucket, buckets)
         names, at_name = np.unique(context, return_inverse=True)
@@ -324,7 +325,7 @@ def scores_of(block: Block, n_tokens: int, n_types: int) -> dict[str, np.ndarray
         # a position whose context is no state stays with the probability of the state it failed to
         n = np.where(known, total, 1)
         fail = np.where(known, 1 - (mass - DISCOUNT * kinds) / n, 1.0)
-        p = np.where(count >= MIN_COUNT, (count - DISCOUNT) / n, 0.0) + fail * p
+        p = np.where(count >= block.least, (count - DISCOUNT) / n, 0.0) + fail * p
     first = np.cumsum(block.n) - block.n
     add = lambda x: np.add.reduceat(x, first)
     return {"n_tokens": block.n, "n_known": add((c > 0).astype(np.int64)), "base_score": add(np.log10(base)), "score": add(np.log10(p))}
@@ -333,14 +334,14 @@ def scores_of(block: Block, n_tokens: int, n_types: int) -> dict[str, np.ndarray
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, least: int = MIN_COUNT) -> DataFrame:
     """Train on the training folds of ``docs`` and score every document."""
     size = text_bytes(docs)
     blocks = max(LEAST_BLOCKS, math.ceil(size / BLOCK_BYTES))
     buckets = power_of_two(size / (16 << 20), 64, 1 << 14)
     encoded = materialize(encode(docs, blocks, buckets), "blocks", free=True, parts="kind")
     state = encoded.filter("kind = 0")
-    replies = materialize(answer_tokens(encoded.filter("kind = 1"), buckets), "tokens", free=True)
+    replies = materialize(answer_tokens(encoded.filter("kind = 1"), buckets, least), "tokens", free=True)
     discard(encoded, "kind=1")
     # a row for each bucket
     parts = [unpack(r["payload"])[0] for r in replies.filter("kind = -1").select("payload").collect()]
@@ -349,7 +350,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     hot: dict = {"start": starts}
     state = state.union(replies.filter("kind = 1"))
     for level in range(2, order + 1):
-        replies = materialize(answer_grams(ask(state, level, buckets, n_tokens, hot), level, buckets, level == order), f"grams{level}", free=True)
+        replies = materialize(answer_grams(ask(state, level, buckets, n_tokens, hot, least), level, buckets, level == order, least), f"grams{level}", free=True)
         for r in replies.filter("kind = -1").select("payload").collect():  # at most 4 * buckets contexts
             for name, m, d in zip(*(x.tolist() for x in unpack(r["payload"])), strict=True):
                 before = hot.get((level, name), (0, 0))
@@ -358,7 +359,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     known = dict(hot)
 
     def run(group: pa.Table) -> pa.Table:
-        block = Block(group, buckets, order, n_tokens, known)
+        block = Block(group, buckets, order, n_tokens, known, least)
         figures = scores_of(block, n_tokens, n_types)
         ids = pa.array(block.ids, pa.int64(), mask=block.none.astype(bool))
         return pa.table({"doc_id": ids, "held_out": ~block.train, "n_tokens": figures["n_tokens"], "n_known": figures["n_known"], "train_tokens": np.full(len(ids), n_tokens), "base_score": figures["base_score"], "score": figures["score"]})
@@ -367,4 +368,4 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(documents(spark, sf_dir))
+    return score(documents(spark, sf_dir), least=1)
