@@ -297,6 +297,35 @@ def test_line_groups_match_brute_force(spark):
     assert got == {i for i in range(len(texts)) if root(i) != i}
 
 
+def test_line_query_finds_similar_lines_of_every_length(spark, tmp_path):
+    """Held against edit similarity alone: a changed word, a typo, and a few typos, in lines of 1 to 60 words."""
+    rng = random.Random(21)
+    vocab = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(3000)]
+    most = lambda a, b: int(0.2 * max(len(a), len(b)) + 1e-9)
+    rows, kinds = [], {}
+    for lo, hi in ((1, 3), (4, 7), (8, 13), (15, 26), (40, 61)):
+        for kind in ("word", "typo", "typos"):
+            for _ in range(60):
+                a = " ".join(rng.choices(vocab, k=rng.randrange(lo, hi)))
+                b = a.split(" ")
+                if kind == "word":
+                    b[rng.randrange(len(b))] = rng.choice(vocab)
+                b = list(" ".join(b))
+                for _ in range({"word": 0, "typo": 1, "typos": max(1, len(b) // 20)}[kind]):
+                    b[rng.choice([i for i, x in enumerate(b) if x != " "])] = rng.choice("abcdefghijklmnop")
+                b = "".join(b)
+                if a != b and levenshtein(a, b) <= most(a, b):
+                    i = len(rows)
+                    rows += [(i, a), (i + 1, b)]
+                    kinds[i + 1] = (lo, kind)
+    folder = tmp_path / "documents.parquet"
+    spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string").write.parquet(str(folder))
+    got = {r["doc_id"] for r in lines.op5_line_dedup(spark, str(tmp_path)).filter("n_removed > 0").collect()}
+    total, found = collections.Counter(kinds.values()), collections.Counter(k for i, k in kinds.items() if i in got)
+    print({k: (found[k], n) for k, n in sorted(total.items())})
+    assert all(found[k] >= 0.9 * n for k, n in total.items())
+
+
 # --- 6 language model -----------------------------------------------------------------------------------------
 
 
