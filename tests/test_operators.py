@@ -210,3 +210,16 @@ def test_scan_equals_brute_force(spark):
     assert got == closure(edges)
     assert out.filter("is_keep").count() == len(set(got.values()))
     assert D.BADGES[0][1] == "identical"
+
+
+def test_cropped_copies_that_share_no_band_are_matched(spark):
+    from twinsift.config import ScanConfig
+    from twinsift.plans import scan
+
+    files = spark.createDataFrame([(1, 10, 10, 0), (2, 10, 10, 1500), (3, 10, 10, 3600)], "id long, width int, height int, idx long")
+    hist = [8.0] * 32
+    rows = [(1, 0, [-1], hist, hist), (2, -1, [5], hist, hist), (3, -1, [6], hist, hist)]
+    fps = spark.createDataFrame(rows, "id long, fp long, crops array<long>, color_hist array<double>, edge_hist array<double>")
+    got = {(r["src"], r["dst"], r["match_type"]) for r in scan.match_edges(files, fps, ScanConfig(bits=64, with_crops=True, with_colour=True)).collect()}
+    # 3 is too far from 1, and has the fingerprint of 2
+    assert (1, 2, "crop") in got and not any(g[:2] == (1, 3) for g in got)

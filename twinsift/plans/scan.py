@@ -18,7 +18,7 @@ from twinsift.functions.fingerprints import hash_bytes, hash_bytes144
 from twinsift.functions.predicates import aspect_compatible, extension_enabled, is_supported, size_between
 from twinsift.operators import groups as G
 from twinsift.operators import lsh
-from twinsift.operators.pairs import drop_rejected
+from twinsift.operators.pairs import drop_rejected, window_candidates
 from twinsift.plans.workspace import materialize
 
 
@@ -29,13 +29,29 @@ def filter_files(files: DataFrame, config: ScanConfig) -> DataFrame:
     )
 
 
+def _window_pairs(rows: DataFrame, reps: DataFrame, reach: int) -> DataFrame:
+    """(i, j) of nodes that have rows less than ``reach`` positions apart with near brightness and edges.
+
+    Cropped copies may share no band. All rows take part, not only the nodes'
+    first, since a copy can be near where the first is not.
+    """
+    l1 = lambda c, at, n: F.aggregate(F.zip_with(F.slice(f"a.{c}", at, n), F.slice(f"b.{c}", at, n), lambda x, y: F.abs(x - y)), F.lit(0).cast("double"), lambda s, x: s + x)
+    near = (l1("color_hist", 25, 8) < 200) & (l1("edge_hist", 1, 6) < 300)
+    found = window_candidates(rows.select("idx", "color_hist", "edge_hist"), "idx", reach, near, "color_hist", "edge_hist")
+    node = lambda c, name: rows.join(reps, "_sig").select(F.col("idx").alias(c), F.col("_rep").alias(name))
+    both = found.join(node("i", "a"), "i").join(node("j", "b"), "j").filter("a <> b")
+    return both.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).distinct()
+
+
 def match_edges(files: DataFrame, fps: DataFrame, config: ScanConfig, rejections: DataFrame | None = None) -> DataFrame:
     """(src, dst, dist, match_type) between files by fingerprint.
 
     ``fps`` has id and ``fp``: a long for 64 bits, a struct for 144; and where
     the options ask for them, ``variants``, ``crops``, ``color_hist``,
-    ``edge_hist`` and ``phash``.
+    ``edge_hist`` and ``phash``. With crops and colours, ``files`` has ``idx``, the scan position.
     """
+    if config.with_crops and config.with_colour and "idx" not in files.columns:
+        raise ValueError("crops with colours are matched by scan position too: files need idx")
     distance = D.hamming if config.bits == 64 else D.hamming144
     parts = hash_bytes(F.col("fp")) if config.bits == 64 else hash_bytes144(F.col("fp"))
     t = config.threshold
@@ -48,6 +64,8 @@ def match_edges(files: DataFrame, fps: DataFrame, config: ScanConfig, rejections
     nodes = materialize(rows.join(reps.select("_rep"), F.col("id") == F.col("_rep"), "left_semi").drop("_sig"), "nodes")
     setting = lsh.choose_setting(nodes.select("id", "fp"), distance, t, config.lsh_mode)
     found = lsh.candidates(lsh.explode_bands(nodes, parts, config.bits, setting, "id"))
+    if config.with_crops and config.with_colour:
+        found = found.select("i", "j").union(_window_pairs(rows.join(files.select("id", "idx"), "id"), reps, config.window)).distinct()
     a, b = nodes.alias("a"), nodes.alias("b")
     pairs = found.join(a, F.col("i") == F.col("a.id")).join(b, F.col("j") == F.col("b.id"))
     if config.aspect_filter:
