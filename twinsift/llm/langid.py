@@ -181,7 +181,10 @@ def _long(lexicon: Lexicon, p: np.ndarray, word: str) -> np.ndarray:
 
 
 def fit(lexicon: Lexicon, n_pieces: int, words: list[str], counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Piece probabilities of each language by expectation-maximisation; counts is words x languages."""
+    """Piece probabilities of each language by expectation-maximisation; counts is words x languages.
+
+    Words of more than 60 letters are left out of the training, though predictions score them.
+    """
     p = np.full((n_pieces, counts.shape[1]), 1.0 / n_pieces)
     order = sorted(range(len(words)), key=lambda i: len(words[i]))
     order = [i for i in order if len(words[i]) <= 60]
