@@ -195,6 +195,28 @@ def test_chat_events_fold(spark):
     assert [row["formatted"][s["start"] : s["end"]] for s in row["loss_spans"]] == ["ok"]
 
 
+def test_chat_keeps_large_ids_apart_beside_a_null(spark):
+    ids = [None, 2**53, 2**53 + 1, -(2**62) - 1]
+    df = spark.createDataFrame([(i, 0, "user", f"hello {i}") for i in ids], "conv_id long, turn long, role string, text string").coalesce(1)
+    for log in (chat.conversation_events(df), chat.message_events(df)):
+        got = {r["conv_id"]: r["formatted"] for r in chat.format_log(log).collect()}
+        assert {i: chat.read_back(t) for i, t in got.items()} == {i: [("user", f"hello {i}")] for i in ids}
+        assert {r["conv_id"]: r["n_turns"] for r in chat.digests(chat.format_log(log)).collect()} == dict.fromkeys(ids, 1)
+
+
+def test_chat_log_folds_to_the_rows(spark):
+    """Drafts, deltas, regenerations and edits leave each row's text; ties, nulls, repeated rows and long texts too."""
+    rows = [(1, 0, "user", "a<|b"), (1, 1, "assistant", "long " * 20_000), (1, 1, "assistant", None), (1, 1, None, "x"), (1, 1, None, "x"), (1, None, "user", "y"), (2, 3, "assistant", "é日"), (None, 1, "user", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("place", F.lit(1)).withColumn("step", F.lit("q"))
+    log = chat.message_events(df)
+    assert {r["kind"] for r in log.select("kind").distinct().collect()} == {"open", "delta", "regen", "edit"}
+    got = {r["conv_id"]: chat.read_back(r["formatted"]) for r in chat.format_log(log).collect()}
+    for conv in (1, 2, None):
+        mine = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))
+        assert got[conv] == [(r[2] or "", r[3] or "") for r in mine]
+    assert chat.message_events(df.limit(0)).count() == 0
+
+
 # --- 5 lines --------------------------------------------------------------------------------------------------
 
 

@@ -30,8 +30,8 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -83,10 +83,6 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def _none(x):
-    return None if x is None or x != x else x
-
-
 def format_log(events: DataFrame) -> DataFrame:
     """Fold and render a log: (conv_id, formatted, loss_spans).
 
@@ -99,26 +95,27 @@ def format_log(events: DataFrame) -> DataFrame:
     )
     ordered = log.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "kind", "role", "text", "target")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, messages, done = object(), [], []
-        for pdf in batches:
-            for conv, kind, role, text, to in zip(pdf.conv_id, pdf.kind, pdf.role, pdf.text, pdf.target, strict=True):
-                conv, to = _none(conv), _none(to)
+        for b in batches:
+            for conv, kind, role, text, to in zip(*(b.column(c).to_pylist() for c in ("conv_id", "kind", "role", "text", "target")), strict=True):
                 if conv != current:
                     if messages:
                         done.append((current, *render(messages)))
                     current, messages = conv, []
-                fold(messages, kind, role, text, None if to is None else int(to))
+                fold(messages, kind, role, text, to)
             if done:
-                yield frame(done)
+                yield rendered(done)
                 done = []
         if messages:
-            yield frame([(current, *render(messages))])
+            yield rendered([(current, *render(messages))])
 
-    def frame(rows: list) -> pd.DataFrame:
-        return pd.DataFrame({"conv_id": pd.array([None if r[0] is None else int(r[0]) for r in rows], "Int64"), "formatted": [r[1] for r in rows], "loss_spans": [[{"start": a, "end": b} for a, b in r[2]] for r in rows]})
+    def rendered(rows: list) -> pa.RecordBatch:
+        ids, texts, spans = zip(*rows, strict=True)
+        span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], span)], ["conv_id", "formatted", "loss_spans"])
 
-    return ordered.mapInPandas(run, FORMAT_SCHEMA)
+    return ordered.mapInArrow(run, FORMAT_SCHEMA)
 
 
 def conversation_events(rows: DataFrame) -> DataFrame:
@@ -126,26 +123,47 @@ def conversation_events(rows: DataFrame) -> DataFrame:
     return rows.select("conv_id", F.col("turn").alias("seq"), F.lit("open").alias("kind"), "role", "text")
 
 
+def message_events(rows: DataFrame) -> DataFrame:
+    """Finished conversations as the log that a chat service would have written.
+
+    Each message opens with a draft that streams on in a delta. If its turn is
+    odd, it is then regenerated and streamed again in two deltas; else its first
+    half is streamed and an edit sets the final text. So folding the log gives
+    the rows by turn, and those of equal turn by role and text.
+    """
+    order = Window.partitionBy("conv_id", "turn").orderBy(F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
+    at = rows.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), F.row_number().over(order).alias("place"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    left, right = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
+    none = F.lit(None).cast("string")
+    event = lambda step, kind, said: F.struct(F.lit(step).alias("step"), F.lit(kind).alias("kind"), said.alias("text"))
+    draft = [event(0, "open", F.lit("draft")), event(1, "delta", F.lit(", not final"))]
+    again = F.array(*draft, event(2, "regen", none), event(3, "delta", left), event(4, "delta", right))
+    edited = F.array(*draft, event(2, "delta", left), event(3, "edit", F.col("text")))
+    each = at.select("conv_id", "turn", "place", "role", F.explode(F.when(F.col("turn") % 2 == 1, again).otherwise(edited)).alias("e"))
+    return each.select("conv_id", F.struct("turn", "place", "e.step").alias("seq"), "e.kind", "role", "e.text")
+
+
 def digests(formatted: DataFrame) -> DataFrame:
     """What the output says, read back from it."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             rows = []
-            for conv, text, spans in zip(pdf.conv_id, pdf.formatted, pdf.loss_spans, strict=True):
+            for conv, text, spans in zip(*(b.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_spans")), strict=True):
                 turns = read_back(text)
                 loss = [unescape(text[s["start"] : s["end"]]) for s in spans]
                 sha = lambda parts: hashlib.sha256("".join(parts).encode()).hexdigest()
-                conv = _none(conv)
-                rows.append((None if conv is None else int(conv), len(turns), sha(f"{r}\n{t}\n" for r, t in turns), sum(map(len, loss)), sha(loss), len(text)))
-            out = pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-            out["conv_id"] = pd.array([r[0] for r in rows], "Int64")
-            yield out
+                rows.append((conv, len(turns), sha(f"{r}\n{t}\n" for r, t in turns), sum(map(len, loss)), sha(loss), len(text)))
+            types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            cols = zip(*rows, strict=True) if rows else [[]] * len(types)
+            names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
-    return formatted.mapInPandas(run, DIGEST_SCHEMA)
+    return formatted.mapInArrow(run, DIGEST_SCHEMA)
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], rows.schema)
-    return digests(format_log(conversation_events(rows.unionByName(extra))))
+    return digests(format_log(message_events(rows.unionByName(extra))))
