@@ -127,6 +127,38 @@ def quality(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(rep), failed
 
 
+def bin_top(v):
+    """Largest value that shares a sketch bin with ``v``."""
+    if v < 64:
+        return v
+    shift = v.bit_length() - 6
+    return (((v >> shift) + 1) << shift) - 1
+
+
+def quality_kept(docs, spread=6, least=50):
+    """(kept, limits) of each (text, lang, source), by sorting whole groups."""
+    rates = []
+    for text, _, _ in docs:
+        n, chars, symbols, dups, reps, failed = quality(text)
+        rates.append((failed, *(x * 1000 // n if n else 0 for x in (chars, symbols, dups, reps))))
+    groups = [defaultdict(list) for _ in range(3)]
+    for (_, lang, source), r in zip(docs, rates, strict=True):
+        for g, k in zip(groups, ((lang, source), lang, None), strict=True):
+            g[k].append(r[1:])
+    at = lambda vs, q: vs[(len(vs) * q + 99) // 100 - 1] if vs else 0
+    out = []
+    for (_, lang, source), r in zip(docs, rates, strict=True):
+        rows = next((g[k] for g, k in zip(groups, ((lang, source), lang), strict=False) if len(g[k]) >= least), groups[2][None])
+        limits = []
+        for i in range(4):
+            vs = sorted(bin_top(x[i]) for x in rows)
+            some = [v for v in vs if v]
+            q50, q75, q90, p25, p75 = at(vs, 50), at(vs, 75), at(vs, 90), at(some, 25), at(some, 75)
+            limits.append(max(q90, q75 + spread * (q75 - q50) if q75 > q50 else p75 + (p75 - p25) * 3 // 2))
+        out.append((not r[0] and all(a <= b for a, b in zip(r[1:], limits, strict=True)), tuple(limits)))
+    return out
+
+
 def jump(key, n):
     b, j = -1, 0
     while j < n:

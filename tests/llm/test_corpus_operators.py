@@ -483,6 +483,18 @@ def test_quality(docs, empty):
     assert quality.quality_rules(empty).count() == 0
 
 
+def test_quality_limits_adapt(spark, sf, docs):
+    """The verdicts and limits of every row are those of sorted groups, and the limits of groups differ."""
+    names = [f"max_{s}" for s in quality.SIGNALS]
+    rows = [(t, lang, source) for _, t, lang, source in ROWS]
+    want = collections.Counter((r[0], *k) for r, k in zip(ROWS, brute.quality_kept(rows), strict=True))
+    assert collections.Counter((r["doc_id"], r["kept"], tuple(r[n] for n in names)) for r in quality.quality_rules(docs).collect()) == want
+    d = [tuple(r) for r in spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
+    got = {r["doc_id"]: (r["kept"], tuple(r[n] for n in names)) for r in quality.op9_quality_rules(spark, sf.replace("0.001", "0.01")).collect()}
+    assert got == {r[0]: k for r, k in zip(d, brute.quality_kept([r[1:] for r in d]), strict=True)}
+    assert sum(len({limits[i] for _, limits in got.values()}) > 1 for i in range(4)) >= 3
+
+
 def test_sketch_bins(spark):
     vs = [0, 1, 63, 64, 65, 127, 128, 1000, 10**6, 10**12]
     df = spark.createDataFrame([(v,) for v in vs], "v long").select("v", quality.bin_of(F.col("v")).alias("b")).withColumn("top", quality.bin_top(F.col("b")))

@@ -6,7 +6,7 @@ tests hold those against brute-force versions.
 
 from __future__ import annotations
 
-from twinsift.llm.quality import MAX_REPEAT, MIN_GROUP, MIN_WORDS, SLACK, SPREAD, SYMBOLS
+from twinsift.llm.quality import MAX_REPEAT, MIN_GROUP, MIN_WORDS, SPREAD, SYMBOLS
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 TEST_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
@@ -42,14 +42,14 @@ OP4 = f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(
 
 _RATE = lambda c: f"CASE WHEN n_words > 0 THEN {c} * 1000 // n_words ELSE 0 END"
 _RATES = {"mean_chars": "word_chars", "symbols": "n_symbols", "dup_lines": "n_dup_lines", "repeats": "n_repeat_words"}
-_SLACK = "CASE signal " + " ".join(f"WHEN '{s}' THEN {v}" for s, v in SLACK.items()) + " END"
 
 
 def _quantiles(by: str) -> str:
     keys = f"{by}, signal" if by else "signal"
-    return f"""(SELECT {keys}, max(total) AS total, min(top) FILTER (upto * 100 >= total * 50) AS q50, min(top) FILTER (upto * 100 >= total * 75) AS q75 FROM
-      (SELECT {keys}, CASE WHEN bin < 64 THEN bin ELSE (((bin & 4294967295) + 1) << (bin >> 32)::int) - 1 END AS top, sum(n) OVER (PARTITION BY {keys} ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY {keys}) AS total
-       FROM (SELECT {keys}, bin, count(*) AS n FROM e GROUP BY {keys}, bin)) GROUP BY {keys})"""
+    return f"""(SELECT {keys}, max(total) AS total, min(top) FILTER (upto * 100 >= total * 50) AS q50, min(top) FILTER (upto * 100 >= total * 75) AS q75, min(top) FILTER (upto * 100 >= total * 90) AS q90,
+      coalesce(min(top) FILTER (bin > 0 AND (upto - zero) * 100 >= (total - zero) * 25), 0) AS p25, coalesce(min(top) FILTER (bin > 0 AND (upto - zero) * 100 >= (total - zero) * 75), 0) AS p75 FROM
+      (SELECT {keys}, bin, CASE WHEN bin < 64 THEN bin ELSE (((bin & 4294967295) + 1) << (bin >> 32)::int) - 1 END AS top, sum(n) OVER (PARTITION BY {keys} ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY {keys}) AS total,
+       coalesce(sum(n) FILTER (bin = 0) OVER (PARTITION BY {keys}), 0) AS zero FROM (SELECT {keys}, bin, count(*) AS n FROM e GROUP BY {keys}, bin)) GROUP BY {keys})"""
 
 
 _PICK = lambda q: f"CASE WHEN o.total >= {MIN_GROUP} THEN o.{q} WHEN l.total >= {MIN_GROUP} THEN l.{q} ELSE a.{q} END"
@@ -64,8 +64,9 @@ OP9 = f"""WITH d AS MATERIALIZED (SELECT doc_id, lang, source, coalesce(text, ''
   r AS MATERIALIZED (SELECT *, {', '.join(f'{_RATE(c)} AS {n}' for n, c in _RATES.items())} FROM s),
   e AS MATERIALIZED (SELECT lang, source, signal, CASE WHEN v < 64 THEN v ELSE ((length(bin(v)) - 6)::bigint << 32) + (v >> (length(bin(v)) - 6)) END AS bin
     FROM ({' UNION ALL '.join(f"SELECT lang, source, '{n}' AS signal, {n}::bigint AS v FROM r" for n in _RATES)})),
-  tops AS (SELECT o.lang, o.source, o.signal, {_PICK('q75')} + greatest({_SLACK.replace('signal', 'o.signal', 1)}, {SPREAD} * (({_PICK('q75')}) - ({_PICK('q50')}))) AS top
+  picked AS (SELECT o.lang, o.source, o.signal, {', '.join(f'{_PICK(q)} AS {q}' for q in ('q50', 'q75', 'q90', 'p25', 'p75'))}
     FROM {_quantiles('lang, source')} o JOIN {_quantiles('lang')} l ON o.lang IS NOT DISTINCT FROM l.lang AND o.signal = l.signal JOIN {_quantiles('')} a ON o.signal = a.signal),
+  tops AS (SELECT lang, source, signal, greatest(q90, CASE WHEN q75 > q50 THEN q75 + {SPREAD} * (q75 - q50) ELSE p75 + ((p75 - p25) * 3) // 2 END) AS top FROM picked),
   h AS (SELECT lang, source, {', '.join(f"max(top) FILTER (signal = '{n}')::bigint AS max_{n}" for n in _RATES)} FROM tops GROUP BY 1, 2),
   j AS (SELECT r.*, {', '.join(f'max_{n}' for n in _RATES)}, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words AS base_failed
     FROM r LEFT JOIN h ON r.lang IS NOT DISTINCT FROM h.lang AND r.source IS NOT DISTINCT FROM h.source)

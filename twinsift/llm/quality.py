@@ -6,11 +6,13 @@ widen with the value, 1/32 of it at most. Sketches merge by adding counts, so
 partial aggregation ships bins instead of rows, the result does not depend on
 the order of merging, and a quantile is exact to the width of its bin.
 
-A threshold is the upper quartile plus ``SPREAD`` times the distance between
-median and upper quartile, at least ``SLACK`` above the upper quartile; an
-ordinary document lies below it in any language or source. A group of under
-``MIN_GROUP`` documents takes the merged sketch of its language, and a small
-language that of all documents.
+A threshold comes from the group's sketch alone: the upper quartile plus ``SPREAD``
+times its distance from the median. Where these are equal, as for a signal that is
+zero in most documents, it is Tukey's fence of the documents in which the signal is
+not zero: their upper quartile plus one and a half times the distance of their
+quartiles. No threshold is below the ninth decile. A group of under ``MIN_GROUP``
+documents takes the merged sketch of its language, and a small language that of all
+documents.
 
 Defined results: a null text has no words and fails the base rules; a null lang
 or source is a group of its own; repeated rows count as often as they occur; an
@@ -30,11 +32,12 @@ from twinsift.plans.workspace import materialize
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT = 20, 30
-#: Signals per thousand words, each with its least distance from the upper quartile.
-SLACK = {"mean_chars": 4000, "symbols": 150, "dup_lines": 80, "repeats": 250}
+#: Signals per thousand words.
+SIGNALS = ("mean_chars", "symbols", "dup_lines", "repeats")
 SPREAD = 6
 MIN_GROUP = 50
-QUANTILES = (50, 75)
+#: Quantiles of all documents of a group, and of those in which the signal is not zero.
+QUANTILES, PART_QUANTILES = (50, 75, 90), (25, 75)
 
 
 def repeat_words(parts: Column, window: int = WINDOW) -> Column:
@@ -95,16 +98,18 @@ def bin_top(b: Column) -> Column:
 
 def sketches(rows: DataFrame) -> DataFrame:
     """Counts of (lang, source, signal, bin); they merge by addition."""
-    each = F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), bin_of(F.col(f"rates.{s}")).alias("bin")) for s in SLACK]))
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), bin_of(F.col(f"rates.{s}")).alias("bin")) for s in SIGNALS]))
     return rows.select("lang", "source", each.alias("e")).groupBy("lang", "source", "e.signal", "e.bin").agg(F.count("*").alias("n"))
 
 
 def _quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    up = Window.partitionBy(*by, "signal").orderBy("bin")
+    group = Window.partitionBy(*by, "signal")
     merged = sketch.groupBy(*by, "signal", "bin").agg(F.sum("n").alias("n"))
-    ranked = merged.withColumn("upto", F.sum("n").over(up)).withColumn("total", F.sum("n").over(Window.partitionBy(*by, "signal")))
+    ranked = merged.withColumn("upto", F.sum("n").over(group.orderBy("bin"))).withColumn("total", F.sum("n").over(group))
+    ranked = ranked.withColumn("zero", F.sum(F.when(F.col("bin") == 0, F.col("n")).otherwise(0)).over(group))
     at = lambda q: F.min(F.when(F.col("upto") * 100 >= F.col("total") * q, bin_top(F.col("bin"))))
-    return ranked.groupBy(*by, "signal").agg(F.max("total").alias("total"), *[at(q).alias(f"q{q}") for q in QUANTILES])
+    part = lambda q: F.min(F.when((F.col("bin") > 0) & ((F.col("upto") - F.col("zero")) * 100 >= (F.col("total") - F.col("zero")) * q), bin_top(F.col("bin"))))
+    return ranked.groupBy(*by, "signal").agg(F.max("total").alias("total"), *[at(q).alias(f"q{q}") for q in QUANTILES], *[F.coalesce(part(q), F.lit(0)).alias(f"p{q}") for q in PART_QUANTILES])
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
@@ -113,10 +118,10 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     o, l, a = own.alias("o"), lang.alias("l"), everything.alias("a")
     joined = o.join(l, F.expr("o.lang <=> l.lang AND o.signal = l.signal")).join(a, F.expr("o.signal = a.signal"))
     pick = lambda c: F.when(F.col("o.total") >= MIN_GROUP, F.col(f"o.{c}")).when(F.col("l.total") >= MIN_GROUP, F.col(f"l.{c}")).otherwise(F.col(f"a.{c}"))
-    slack = reduce(lambda e, kv: e.when(F.col("o.signal") == kv[0], kv[1]), SLACK.items(), F.when(F.lit(False), 0))
-    limit = pick("q75") + F.greatest(slack, SPREAD * (pick("q75") - pick("q50")))
-    rows = joined.select("o.lang", "o.source", "o.signal", limit.alias("top"))
-    return rows.groupBy("lang", "source").agg(*[F.max(F.when(F.col("signal") == s, F.col("top"))).alias(f"max_{s}") for s in SLACK])
+    rows = joined.select("o.lang", "o.source", "o.signal", *[pick(f"q{q}").alias(f"q{q}") for q in QUANTILES], *[pick(f"p{q}").alias(f"p{q}") for q in PART_QUANTILES])
+    fence = F.when(F.col("q75") > F.col("q50"), F.col("q75") + SPREAD * (F.col("q75") - F.col("q50"))).otherwise(F.col("p75") + F.floor((F.col("p75") - F.col("p25")) * 3 / 2))
+    rows = rows.withColumn("top", F.greatest("q90", fence).cast("long"))
+    return rows.groupBy("lang", "source").agg(*[F.max(F.when(F.col("signal") == s, F.col("top"))).alias(f"max_{s}") for s in SIGNALS])
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -130,10 +135,10 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     r, t = rows.alias("r"), limits.alias("t")
     judged = r.join(t, F.expr("r.lang <=> t.lang AND r.source <=> t.source"), "left")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
-    within = reduce(lambda x, y: x & y, [F.col(f"rates.{s}") <= F.coalesce(F.col(f"max_{s}"), F.lit(0)) for s in SLACK])
+    within = reduce(lambda x, y: x & y, [F.col(f"rates.{s}") <= F.coalesce(F.col(f"max_{s}"), F.lit(0)) for s in SIGNALS])
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & within).alias("kept"), *[F.col(f"max_{s}") for s in SLACK],
+        failed.alias("base_failed"), (~failed & within).alias("kept"), *[F.col(f"max_{s}") for s in SIGNALS],
     )
 
 
