@@ -52,8 +52,8 @@ def text_bytes(df: DataFrame, col: str = "text") -> int:
     return df.agg(F.coalesce(F.sum(F.octet_length(col)), F.lit(0))).first()[0]
 
 
-def power_of_two(n: float, least: int, most: int = 1 << 20) -> int:
+def power_of_two(n: float, least: int) -> int:
     k = least
-    while k < n and k < most:
+    while k < n:
         k *= 2
     return k

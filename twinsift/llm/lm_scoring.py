@@ -26,10 +26,11 @@ own tokens need and receives just those states and arcs:
   1 / (4 * buckets) of the tokens is spread over all buckets; there are at most
   4 * buckets of those, and their partial sums are put together on the driver.
 
-Questions and answers are packed arrays (see packing.py). A document is then
-read left to right once: the state after each token is the longest stored
-suffix, and log-probabilities accumulate, by failure arcs from each state to
-the one that has the arc.
+Questions and answers are packed arrays (see packing.py). A block's documents are
+then read left to right once, all side by side, each with its state: while the
+state has no arc for the token, the weight of its failure arc is added and the
+read goes on in the state that it leads to; then the arc's weight is added, and
+the arc leads to the longest stored suffix of what was read.
 
 Defined results: a null or empty text is one end token; a null doc_id counts
 as an empty id text in the split; repeated rows count as often as they occur;
@@ -48,7 +49,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsift.llm.common import crc_mod, documents, let, lower_ascii, power_of_two, text_bytes, text_key, words
-from twinsift.llm.packing import by_bucket, deltas, pack, small, unpack
+from twinsift.llm.packing import deltas, each_bucket, pack, small, unpack
 from twinsift.plans.workspace import discard, materialize
 
 ORDER = 3
@@ -133,11 +134,8 @@ def encode(docs: DataFrame, blocks: int, buckets: int) -> DataFrame:
         doc = group["doc_id"]
         ids, none = doc.fill_null(0).to_numpy(), doc.is_null().to_numpy()
         out = [(-1, 0, block, pack(vocabulary, small(index), (n + 1).astype(np.int64), train.astype(np.uint8), ids, none.astype(np.uint8)))]
-        order, bounds = by_bucket((vocabulary & np.uint64(buckets - 1)).astype(np.int64), buckets)
-        for k in range(buckets):
-            at = order[bounds[k] : bounds[k + 1]]
-            if len(at):
-                out.append((k, 1, block, pack(vocabulary[at], small(counts[at]))))
+        for k, at in each_bucket((vocabulary & np.uint64(buckets - 1)).astype(np.int64)):
+            out.append((k, 1, block, pack(vocabulary[at], small(counts[at]))))
         return _table(out)
 
     return tokens.groupBy("block").applyInArrow(run, MESSAGE)
@@ -158,10 +156,8 @@ class Block:
         self.index, self.train = index.astype(np.int64), train.astype(bool)
         self.buckets, self.n_tokens, self.least = buckets, n_tokens, least
         counts, numbers = (np.zeros(len(self.vocabulary), np.int64) for _ in range(2))
-        sort, bounds = by_bucket((self.vocabulary & np.uint64(buckets - 1)).astype(np.int64), buckets)
-        for k, payload in by_kind[1].items():
-            at = sort[bounds[k] : bounds[k + 1]]
-            counts[at], numbers[at] = unpack(payload)
+        for k, at in each_bucket((self.vocabulary & np.uint64(buckets - 1)).astype(np.int64)):
+            counts[at], numbers[at] = unpack(by_kind[1][k])
         self.counts = counts
         word = numbers[self.index]
         first = np.cumsum(self.n) - self.n
@@ -199,28 +195,25 @@ class Block:
         context, word, total = context[one], word[one], total[one]
         hot = total * 4 * self.buckets > self.n_tokens
         bucket = (_mix(context + np.where(hot, word << 20, 0)) & np.uint64(self.buckets - 1)).astype(np.int64)
-        order, bounds = by_bucket(bucket, self.buckets)
-        return at, which, context, word, count, hot, order, bounds
+        return at, which, context, word, count, hot, dict(each_bucket(bucket))
 
     def messages(self, level: int, block: int) -> list[tuple]:
-        _, _, context, word, count, hot, order, bounds = self.asked
+        _, _, context, word, count, hot, by_bucket = self.asked
         out = []
-        for k in range(self.buckets):
-            at = order[bounds[k] : bounds[k + 1]]  # still in order of context and word
-            if len(at):
-                c, w = context[at], word[at]
-                head = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-                step = np.diff(w, prepend=0)
-                step[head] = w[head]
-                out.append((k, level, block, pack(deltas(c[head]), small(np.diff(np.append(head, len(c)))), hot[at][head].astype(np.uint8), small(step), small(count[at]))))
+        for k, at in by_bucket.items():  # still in order of context and word
+            c, w = context[at], word[at]
+            head = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+            step = np.diff(w, prepend=0)
+            step[head] = w[head]
+            out.append((k, level, block, pack(deltas(c[head]), small(np.diff(np.append(head, len(c)))), hot[at][head].astype(np.uint8), small(step), small(count[at]))))
         return out
 
     def answer(self, level, q, payloads, hot):
         """For every position: count and number of its n-gram, stored mass and continuations of its context."""
-        at, which, context, _, _, is_hot, order, bounds = q
+        at, which, context, _, _, is_hot, by_bucket = q
         found = [np.zeros(len(context), np.int64) for _ in range(4)]
         for k, payload in payloads.items():
-            rows = order[bounds[k] : bounds[k + 1]]
+            rows = by_bucket[k]
             stored, count, number, mass, kinds = unpack(payload)
             hits = rows[np.unpackbits(stored, count=len(rows)).astype(bool)]
             c = context[rows]
@@ -316,19 +309,62 @@ def answer_grams(questions: DataFrame, level: int, buckets: int, last: bool, lea
 # --- scores ---------------------------------------------------------------------------------------------------
 
 
+class Automaton:
+    """The states and arcs that a block's documents can meet, with log10 weights.
+
+    A state is a context; its level is the number of its words. At each position,
+    ``arcs[l]`` is the weight of the arc that the state of level ``l`` before it has
+    for its token, where ``has[l]``, and ``fails[l]`` that of the state's failure arc
+    to level l - 1. The empty context has an arc for every token.
+    """
+
+    def __init__(self, block: Block, n_tokens: int, n_types: int):
+        count = block.counts[block.index]
+        p = (count + 1) / (n_tokens + n_types + 1)
+        self.base = np.log10(p)
+        self.is_state = count >= block.least  # of the token alone, as a context
+        self.has, self.arcs, self.fails = [np.ones(len(p), bool)], [self.base], [np.zeros(len(p))]
+        self.start = 0
+        for known, total, c, mass, kinds in block.levels:
+            n = np.where(known, total, 1)
+            fail = np.where(known, 1 - (mass - DISCOUNT * kinds) / n, 1.0)
+            p = np.where(c >= block.least, (c - DISCOUNT) / n, 0.0) + fail * p
+            self.has.append(known & (c >= block.least))
+            self.arcs.append(np.log10(p))
+            # a state all of whose mass is in its arcs is never left by its failure arc
+            self.fails.append(np.log10(np.maximum(fail, 1e-300)))
+        if block.levels and len(p):
+            self.start = int(block.levels[0][0][0])  # the start context, if it is a state
+
+    def read(self, n: np.ndarray) -> np.ndarray:
+        """The log-probability of each document, of ``n`` tokens each, in one pass from left to right."""
+        first, top = np.cumsum(n) - n, len(self.has) - 1
+        order = np.argsort(-n, kind="stable")
+        ends = np.searchsorted(-n[order], -np.arange(int(n.max(initial=0))), side="left")  # documents that have a token t
+        place, level, score = first[order], np.full(len(n), self.start), np.zeros(len(n))
+        for t, k in enumerate(ends.tolist()):
+            at, state, total = place[:k] + t, level[:k], score[:k]
+            for l in range(top, 0, -1):
+                stuck = np.flatnonzero(state == l)
+                stuck = stuck[~self.has[l][at[stuck]]]
+                total[stuck] += self.fails[l][at[stuck]]
+                state[stuck] = l - 1
+            for l in range(top + 1):
+                here = np.flatnonzero(state == l)
+                total[here] += self.arcs[l][at[here]]
+            state[:] = np.where((state > 0) | self.is_state[at], np.minimum(state + 1, top), 0)
+        out = np.empty(len(n))
+        out[order] = score
+        return out
+
+
 def scores_of(block: Block, n_tokens: int, n_types: int) -> dict[str, np.ndarray]:
-    """Each document's figures, by one pass over its states from left to right."""
-    c = block.counts[block.index]
-    base = (c + 1) / (n_tokens + n_types + 1)
-    p = base
-    for known, total, count, mass, kinds in block.levels:
-        # a position whose context is no state stays with the probability of the state it failed to
-        n = np.where(known, total, 1)
-        fail = np.where(known, 1 - (mass - DISCOUNT * kinds) / n, 1.0)
-        p = np.where(count >= block.least, (count - DISCOUNT) / n, 0.0) + fail * p
+    """Each document's figures."""
+    automaton = Automaton(block, n_tokens, n_types)
     first = np.cumsum(block.n) - block.n
     add = lambda x: np.add.reduceat(x, first)
-    return {"n_tokens": block.n, "n_known": add((c > 0).astype(np.int64)), "base_score": add(np.log10(base)), "score": add(np.log10(p))}
+    known = (block.counts[block.index] > 0).astype(np.int64)
+    return {"n_tokens": block.n, "n_known": add(known), "base_score": add(automaton.base), "score": automaton.read(block.n)}
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -338,7 +374,7 @@ def score(docs: DataFrame, order: int = ORDER, least: int = MIN_COUNT) -> DataFr
     """Train on the training folds of ``docs`` and score every document."""
     size = text_bytes(docs)
     blocks = max(LEAST_BLOCKS, math.ceil(size / BLOCK_BYTES))
-    buckets = power_of_two(size / (16 << 20), 64, 1 << 14)
+    buckets = power_of_two(size / (16 << 20), 64)
     encoded = materialize(encode(docs, blocks, buckets), "blocks", free=True, parts="kind")
     state = encoded.filter("kind = 0")
     replies = materialize(answer_tokens(encoded.filter("kind = 1"), buckets, least), "tokens", free=True)

@@ -9,11 +9,12 @@ packed arrays.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 
-_ZSTD = pa.Codec("zstd", compression_level=1)
+_ZSTD = pa.Codec("zstd", compression_level=3)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -52,10 +53,13 @@ def deltas(sorted_: np.ndarray) -> np.ndarray:
     return small(np.diff(sorted_, prepend=sorted_.dtype.type(0)))
 
 
-def by_bucket(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """A stable order by bucket, and the bounds of each bucket in it."""
-    order = np.argsort(bucket.astype(np.min_scalar_type(n)), kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(n + 1))
+def each_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket that has values, with their places in order."""
+    order = np.argsort(small(bucket), kind="stable")
+    sorted_ = bucket[order]
+    heads = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(sorted_) else np.empty(0, np.int64)
+    for lo, hi in pairwise([*heads.tolist(), len(sorted_)]):
+        yield int(sorted_[lo]), order[lo:hi]
 
 
 def documents_of(batch: pa.RecordBatch, column: str, most: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsift.llm.common import documents, let, power_of_two, text_bytes, text_key, words
-from twinsift.llm.packing import by_bucket, deltas, documents_of, pack, unpack
+from twinsift.llm.packing import documents_of, each_bucket, pack, unpack
 from twinsift.plans.workspace import materialize
 
 WINDOW = 50
@@ -95,12 +95,8 @@ def _windows(docs: DataFrame, window: int, buckets: int):
         later = np.zeros(len(h), bool)
         later[order] = _repeats(h, ids[index], order)
         bucket = (h & np.uint64(buckets - 1)).astype(np.int64)
-        sort, bounds = by_bucket(bucket, buckets)
         out = []
-        for k in range(buckets):
-            at = sort[bounds[k] : bounds[k + 1]]  # in order of document and position
-            if not len(at):
-                continue
+        for k, at in each_bucket(bucket):  # in order of document and position
             sent, known = at[~later[at]], at[later[at]]
             bytes_ = (h[sent] >> np.uint64(8)).view(np.uint8).reshape(-1, 8)[:, :7]
             out.append((k, pack(*_docs(ids, keys, index, sent, pos), bytes_.reshape(-1), *_docs(ids, keys, index, known, pos))))
@@ -151,14 +147,11 @@ def repeats(messages: DataFrame, blocks: int) -> DataFrame:
         doc, key, at = (np.concatenate(x) for x in zip(*marked, strict=True))
         order = np.lexsort((at, key, doc))
         doc, key, at = doc[order], key[order], at[order].astype(np.uint32)
-        sort, bounds = by_bucket(((doc.view(np.uint64) * BASE) >> np.uint64(40)).astype(np.int64) % blocks, blocks)
         out = []
-        for b in range(blocks):
-            rows = sort[bounds[b] : bounds[b + 1]]
-            if len(rows):
-                d, k = doc[rows], key[rows]
-                head = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (k[1:] != k[:-1])]))
-                out.append((b, pack(d[head], k[head], np.diff(np.append(head, len(d))).astype(np.uint32), at[rows])))
+        for b, rows in each_bucket(((doc.view(np.uint64) * BASE) >> np.uint64(16)).astype(np.int64) % blocks):
+            d, k = doc[rows], key[rows]
+            head = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (k[1:] != k[:-1])]))
+            out.append((b, pack(d[head], k[head], np.diff(np.append(head, len(d))).astype(np.uint32), at[rows])))
         return pa.table({"bucket": pa.array([x[0] for x in out], pa.int32()), "payload": pa.array([x[1] for x in out], pa.binary())})
 
     return messages.groupBy("bucket").applyInArrow(run, MESSAGE)
@@ -203,8 +196,8 @@ def kept_intervals(marks: DataFrame, window: int) -> DataFrame:
 def repeated_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, key, n_removed, kept) of the documents that lose words."""
     size = text_bytes(docs)
-    buckets = power_of_two(size * 1.6 / BUCKET_BYTES, 256, 1 << 16)
-    blocks = power_of_two(size / (64 << 20), 64, 1 << 12)
+    buckets = power_of_two(size * 1.6 / BUCKET_BYTES, 256)
+    blocks = power_of_two(size / (64 << 20), 64)
     marks = materialize(repeats(_windows(docs, window, buckets), blocks), "marks", free=True)
     return kept_intervals(marks, window)
 
