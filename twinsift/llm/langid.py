@@ -43,6 +43,8 @@ ROUNDS = 3
 FLOOR = 1e-7
 #: Probability of a character that has no piece.
 UNKNOWN = 1e-8
+#: Probabilities are raised by this for each character, so that words of up to ``LONG`` characters stay in range.
+RAISE, LONG = 1e3, 60
 PRIOR = 0.05
 #: Scores kept from batch to batch by a task.
 CACHE = 400_000
@@ -129,8 +131,8 @@ class Lexicon:
         return n, chars.shape[1], found, unknown
 
 
-def forward(n, width, found, unknown, p: np.ndarray) -> np.ndarray:
-    """alpha[t] of every word and language, for t characters read."""
+def forward(n, width, found, unknown, p: np.ndarray, raised: float = 1.0) -> np.ndarray:
+    """alpha[t] of every word and language, for t characters read, times ``raised`` to the power t."""
     alpha = np.zeros((width + 1, len(n), p.shape[1]))
     alpha[0] = 1.0
     for t in range(width):
@@ -139,9 +141,9 @@ def forward(n, width, found, unknown, p: np.ndarray) -> np.ndarray:
             lo, hi = bounds[t], bounds[t + 1]
             if hi > lo:
                 r = rows[lo:hi]
-                a[r] += alpha[t + 1 - length][r] * p[ids[lo:hi]]
+                a[r] += alpha[t + 1 - length][r] * (p[ids[lo:hi]] * raised**length)
         u = np.flatnonzero(unknown[:, t])
-        a[u] += alpha[t][u] * UNKNOWN
+        a[u] += alpha[t][u] * (UNKNOWN * raised)
     return alpha
 
 
@@ -150,50 +152,68 @@ def log_probs(lexicon: Lexicon, p: np.ndarray, words: list[str]) -> np.ndarray:
     out = np.zeros((len(words), p.shape[1]))
     # words of like length together, so that padding stays small
     order = sorted(range(len(words)), key=lambda i: len(words[i]))
-    for lo in range(0, len(order), 20_000):
-        part = order[lo : lo + 20_000]
-        if len(words[part[-1]]) > 60:  # very long words one by one, in pieces of fixed memory
-            for i in part:
-                out[i] = _long(lexicon, p, words[i])
-            continue
+    short = [i for i in order if len(words[i]) <= LONG]
+    for lo in range(0, len(short), 20_000):
+        part = short[lo : lo + 20_000]
         n, *rest = lexicon.spans([words[i] for i in part])
-        alpha = forward(n, *rest, p)
-        out[part] = np.log(np.maximum(alpha[n, np.arange(len(part))], 1e-300))
+        alpha = forward(n, *rest, p, RAISE)
+        out[part] = np.log(np.maximum(alpha[n, np.arange(len(part))], 1e-300)) - (n * math.log(RAISE))[:, None]
+    for i in order[len(short) :]:  # very long words one by one
+        out[i] = _long(lexicon, p, words[i])
     return out
 
 
 def _long(lexicon: Lexicon, p: np.ndarray, word: str) -> np.ndarray:
     """As log_probs, rescaled at each character, since a long word's probability underflows."""
-    n, width, found, unknown = lexicon.spans([word])
-    past = [np.ones(p.shape[1])]
-    scale = np.zeros(p.shape[1])
-    for t in range(width):
-        a = np.full(p.shape[1], 0.0)
-        for length, _, ids, bounds in found:
-            if bounds[t + 1] > bounds[t]:
-                a += past[-length] * p[ids[bounds[t]]]
-        if unknown[0, t]:
-            a += past[-1] * UNKNOWN
-        top = np.maximum(a, 1e-300)
-        scale += np.log(top)
-        past = [x / top for x in past[-lexicon.longest + 1 :]] + [np.ones(p.shape[1])]
-    return scale
+    return _scaled(lexicon.spans([word]), p)[1][-1]
+
+
+def _scaled(spans: tuple, p: np.ndarray, back: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """One word's forward (or backward) sums, each scaled to one, and the logs of their scales, by position."""
+    _, width, found, unknown = spans
+    sums, logs = np.ones((width + 1, p.shape[1])), np.zeros((width + 1, p.shape[1]))
+    steps = range(width - 1, -1, -1) if back else range(1, width + 1)
+    ending = [(length, ids, bounds) for length, _, ids, bounds in found]
+    for t in steps:
+        near = t + 1 if back else t - 1
+        a = np.zeros(p.shape[1])
+        for length, ids, bounds in ending:
+            end, other = (t + length, t + length) if back else (t, t - length)
+            if end <= width and bounds[end] > bounds[end - 1]:
+                a += sums[other] * np.exp(logs[other] - logs[near]) * p[ids[bounds[end - 1]]]
+        if unknown[0, min(t, near)]:
+            a += sums[near] * UNKNOWN
+        # a position that no piece reaches has no sums
+        logs[t] = logs[near] + np.log(np.maximum(a, 1e-300))
+        sums[t] = a / np.maximum(a, 1e-300)
+    return sums, logs
+
+
+def _expect_long(lexicon: Lexicon, p: np.ndarray, word: str, weight: np.ndarray, expected: np.ndarray) -> None:
+    """Add a long word's expected piece counts."""
+    spans = lexicon.spans([word])
+    _, width, found, _ = spans
+    (alpha, up), (beta, down) = _scaled(spans, p), _scaled(spans, p, back=True)
+    for length, _, ids, bounds in found:
+        ends = np.flatnonzero(np.diff(bounds)) + 1
+        log = np.minimum(up[ends - length] + down[ends] - up[width], 700)
+        gamma = alpha[ends - length] * beta[ends] * p[ids] * np.exp(log) * weight
+        np.add.at(expected, ids, gamma)
 
 
 def fit(lexicon: Lexicon, n_pieces: int, words: list[str], counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Piece probabilities of each language by expectation-maximisation; counts is words x languages.
-
-    Words of more than 60 letters are left out of the training, though predictions score them.
-    """
+    """Piece probabilities of each language by expectation-maximisation; counts is words x languages."""
     p = np.full((n_pieces, counts.shape[1]), 1.0 / n_pieces)
     order = sorted(range(len(words)), key=lambda i: len(words[i]))
-    order = [i for i in order if len(words[i]) <= 60]
+    short = [i for i in order if len(words[i]) <= LONG]
     for _ in range(rounds):
         expected = np.zeros_like(p)
-        for lo in range(0, len(order), 20_000):
-            part = order[lo : lo + 20_000]
+        for i in order[len(short) :]:
+            _expect_long(lexicon, p, words[i], counts[i], expected)
+        for lo in range(0, len(short), 20_000):
+            part = short[lo : lo + 20_000]
             n, width, found, unknown = lexicon.spans([words[i] for i in part])
-            alpha = forward(n, width, found, unknown, p)
+            alpha = forward(n, width, found, unknown, p, RAISE)
             beta = np.zeros_like(alpha)
             beta[n, np.arange(len(n))] = 1.0
             for t in range(width, 0, -1):
@@ -201,13 +221,13 @@ def fit(lexicon: Lexicon, n_pieces: int, words: list[str], counts: np.ndarray, r
                     lo_, hi_ = bounds[t - 1], bounds[t]
                     if hi_ > lo_:
                         r = rows[lo_:hi_]
-                        beta[t - length][r] += beta[t][r] * p[ids[lo_:hi_]]
+                        beta[t - length][r] += beta[t][r] * (p[ids[lo_:hi_]] * RAISE**length)
                 u = np.flatnonzero(unknown[:, t - 1])
-                beta[t - 1][u] += beta[t][u] * UNKNOWN
+                beta[t - 1][u] += beta[t][u] * (UNKNOWN * RAISE)
             weight = counts[part] / np.maximum(beta[0], 1e-300)
             for length, rows, ids, bounds in found:
                 ends = np.repeat(np.arange(width), np.diff(bounds)) + 1
-                gamma = alpha[ends - length, rows] * p[ids] * beta[ends, rows] * weight[rows]
+                gamma = alpha[ends - length, rows] * (p[ids] * RAISE**length) * beta[ends, rows] * weight[rows]
                 for k in range(p.shape[1]):
                     expected[:, k] += np.bincount(ids, gamma[:, k], n_pieces)
         total = expected.sum(axis=0)
@@ -291,8 +311,9 @@ def identify(docs: DataFrame, vocabulary: str = VOCABULARY, sample: int = SAMPLE
 
 def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """``docs`` whose language is known with a score of ``least``; their ``lang`` is the prediction."""
-    found = identify(docs).filter((F.col("lang_pred") != "und") & (F.col("score") >= least))
-    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    names = {c: f"_kept_{c}" for c in ("lang_pred", "score") if c in docs.columns}
+    found = identify(docs.withColumnsRenamed(names)).filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).withColumn("lang", F.col("lang_pred"))
+    return found.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
