@@ -89,6 +89,16 @@ def test_mixed_rows_are_the_copies(docs):
     assert out.columns == docs.columns and abs(out.count() - chosen) <= 2
 
 
+def test_mixed_rows_are_exactly_those_taken(spark):
+    """Equal rows, also of several sources, share their copies without loss or gain."""
+    for rows in ([(1, "a b c", "s")] * 3 + [(2, "d e", "s")], [(1, "a b", s) for s in ("s", "t", None)] * 2 + [(i, "x y z", "t") for i in range(9)]):
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("key", F.lit("clash"))
+        want = {(r["doc_id"], r["source"]): r["n"] for r in mixing.mix(df).groupBy("doc_id", "source").agg(F.sum("copies").alias("n")).collect() if r["n"]}
+        out = mixing.mixed_documents(df)
+        assert {(r["doc_id"], r["source"]): r["count"] for r in out.groupBy("doc_id", "source").count().collect()} == want
+        assert out.columns == df.columns
+
+
 def test_targets_stop_at_their_limit():
     sizes = {"a": 1, "b": 100, None: 100}
     got = mixing.fill_targets([1, 100, 100], [3, 1, 2], mixing.SHARE * 201, [mixing.Fraction(2 * x) for x in sizes.values()])
@@ -129,6 +139,35 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(langid._long(langid.Lexicon(SMALL), p, long), want)
 
 
+def test_words_without_pieces_do_not_underflow():
+    """A word of any length gets the product of its unknown characters, with no floor that languages tie at."""
+    p = np.full((len(SMALL), 2), 0.1)
+    p[SMALL.index(langid.START)] = (0.2, 0.1)
+    for n in (1, 37, 38, 59, 60, 61, 200):
+        got = langid.log_probs(langid.Lexicon(SMALL), p, ["z" * n])[0]
+        assert np.allclose(got, np.log([0.2, 0.1]) + n * math.log(langid.UNKNOWN), rtol=1e-9)
+
+
+def test_long_words_train_like_short_ones(monkeypatch):
+    lex, ws, counts = langid.Lexicon(SMALL), ["abc", "abab", "zcab", "bcabcabca"], np.array([[5.0, 1.0], [3.0, 0.0], [2.0, 2.0], [1.0, 4.0]])
+    want = langid.fit(lex, len(SMALL), ws, counts)
+    monkeypatch.setattr(langid, "LONG", 2)
+    assert np.allclose(langid.fit(lex, len(SMALL), ws, counts), want)
+
+
+def test_prediction_matches_brute_force(spark):
+    """Languages and scores of texts from segmentations written out one by one."""
+    rng = random.Random(5)
+    names, p, prior = ["x", "y"], np.random.default_rng(1).random((len(SMALL), 2)), np.log([0.3, 0.7])
+    p /= p.sum(axis=0)
+    texts = [" ".join("".join(rng.choices("abc", k=rng.randint(1, 6))) for _ in range(rng.randint(1, 5))) for _ in range(30)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in langid.predict(df, (names, SMALL, p, prior)).collect():
+        logs = [prior[k] + sum(math.log(all_segmentations(langid.START + w, dict(zip(SMALL, p[:, k], strict=True)))) for w in r["text"].split()) for k in range(2)]
+        best = int(np.argmax(logs))
+        assert r["lang_pred"] == names[best] and math.isclose(r["score"], 1 / sum(math.exp(x - logs[best]) for x in logs))
+
+
 def test_em_raises_likelihood():
     lex, ws = langid.Lexicon(SMALL), ["abc", "abab", "c"]
     counts = np.array([[5.0], [3.0], [2.0]])
@@ -147,7 +186,8 @@ def test_language_accuracy_and_undecided(spark, sf, docs, empty):
         assert (r["lang_pred"] == "und") == (not any(map(str.isalpha, text or ""))) and 0 <= r["score"] <= 1
     assert langid.identify(empty).count() == 0
     assert {r["lang_pred"] for r in langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
-    assert langid.accepted(docs).columns == docs.columns
+    kept = langid.accepted(docs)
+    assert kept.columns == docs.columns and {r["score"] for r in kept.select("score").collect()} <= {1}  # the input's own column
 
 
 # --- 3 decontamination ----------------------------------------------------------------------------------------

@@ -133,11 +133,20 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: rows of ``docs``, all columns, as often as they are taken."""
-    chosen = mix(docs).filter("copies > 0").groupBy("doc_id", "key").agg(F.sum("copies").alias("n"), F.count("*").alias("rows"))
-    c = chosen.select(F.col("doc_id").alias("_mix_id"), F.col("key").alias("_mix_key"), F.ceil(F.col("n") / F.col("rows")).cast("int").alias("_mix_n"))
-    joined = docs.join(c, docs["doc_id"].eqNullSafe(c["_mix_id"]) & (text_key(docs["text"]) == c["_mix_key"]))
-    return joined.withColumn("_mix_n", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).drop("_mix_id", "_mix_key", "_mix_n")
+    """The mix itself: rows of ``docs``, all columns, as often as they are taken.
+
+    Rows equal in id, text and source share their copies evenly. What is left
+    over, in the one group at a source's cut, goes to the first of its rows.
+    """
+    chosen = mix(docs).filter("copies > 0").groupBy("doc_id", "key", "source").agg(F.sum("copies").alias("n"), F.count("*").alias("rows"))
+    c = chosen.select(F.col("doc_id").alias("_mix_id"), F.col("key").alias("_mix_key"), F.col("source").alias("_mix_source"), F.expr("n div rows").cast("int").alias("_mix_n"), F.expr("n % rows").cast("int").alias("_mix_more"))
+    equal = docs["doc_id"].eqNullSafe(c["_mix_id"]) & (text_key(docs["text"]) == c["_mix_key"]) & docs["source"].eqNullSafe(c["_mix_source"])
+    joined = docs.join(c, equal)
+    place = F.row_number().over(Window.partitionBy("_mix_id", "_mix_key", "_mix_source").orderBy(F.lit(1)))
+    even = joined.filter("_mix_more = 0")
+    rest = joined.filter("_mix_more > 0").withColumn("_mix_n", F.col("_mix_n") + (place <= F.col("_mix_more")).cast("int"))
+    copies = F.explode(F.when(F.col("_mix_n") > 0, F.sequence(F.lit(1), F.col("_mix_n"))).otherwise(F.array().cast("array<int>")))
+    return even.union(rest).withColumn("_mix_n", copies).drop("_mix_id", "_mix_key", "_mix_source", "_mix_n", "_mix_more")
 
 
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
