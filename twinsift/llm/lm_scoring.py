@@ -386,7 +386,10 @@ def score(docs: DataFrame, order: int = ORDER, least: int = MIN_COUNT) -> DataFr
     hot: dict = {"start": starts}
     state = state.union(replies.filter("kind = 1"))
     for level in range(2, order + 1):
-        replies = materialize(answer_grams(ask(state, level, buckets, n_tokens, hot, least), level, buckets, level == order, least), f"grams{level}", free=True)
+        # the questions are written, so that the blocks' shuffle files go before the buckets' come
+        asked = materialize(ask(state, level, buckets, n_tokens, hot, least), f"asked{level}", free=True)
+        replies = materialize(answer_grams(asked, level, buckets, level == order, least), f"grams{level}", free=True)
+        discard(asked)
         for r in replies.filter("kind = -1").select("payload").collect():  # at most 4 * buckets contexts
             for name, m, d in zip(*(x.tolist() for x in unpack(r["payload"])), strict=True):
                 before = hot.get((level, name), (0, 0))
