@@ -223,3 +223,71 @@ def test_cropped_copies_that_share_no_band_are_matched(spark):
     got = {(r["src"], r["dst"], r["match_type"]) for r in scan.match_edges(files, fps, ScanConfig(bits=64, with_crops=True, with_colour=True)).collect()}
     # 3 is too far from 1, and has the fingerprint of 2
     assert (1, 2, "crop") in got and not any(g[:2] == (1, 3) for g in got)
+
+
+def test_lossless_candidates_miss_nothing(spark):
+    import random
+
+    rng = random.Random(3)
+    base = [rng.getrandbits(63) for _ in range(12)]
+    fps = [(i, base[i % 12] ^ sum(1 << b for b in rng.sample(range(63), rng.randint(0, 12)))) for i in range(120)]
+    df = spark.createDataFrame(fps, "id long, h long")
+    for t in (0, 3, 7, 16, 20):
+        got = {(r["i"], r["j"]) for r in lsh.lossless_candidates(df, hash_bytes, 64, t).collect()}
+        want = {(i, j) for i, x in fps for j, y in fps if i < j and (x ^ y).bit_count() <= t}
+        assert want <= got and all(i < j for i, j in got)
+
+
+def test_images_go_through_the_scan(spark, sf):
+    """Groups of the image scan are the components of all pairs within the distance, by brute force."""
+    from twinsift import queries as Q
+
+    found = {r["id"]: r for r in scan.scan_fingerprints(Q.image_fingerprints(spark, sf).withColumn("id", F.col("id").cast("long"))).collect()}
+    files = [tuple(r) for r in Q.catalogue(spark, sf).select("id", "md5", "size").collect()]
+    known = [f[0] for f in files if f[0] in found]
+    sides = {i: [(h["w0"], h["w1"], h["w2"]) for h in [found[i]["fp"], *found[i]["variants"]]] for i in known}
+    bits = lambda x, y: sum(((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(x, y, strict=True))
+    config = ScanConfig(bits=144, max_distance=14, with_variants=True, aspect_filter=False)
+    fps = scan.scan_fingerprints(Q.image_fingerprints(spark, sf).withColumn("id", F.col("id").cast("long")))
+    edges = scan.match_edges(Q.catalogue(spark, sf), fps, config)
+    label = {i: i for i in known}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in known:
+        for j in known:
+            if i < j and min(bits(x, y) for x in sides[i] for y in sides[j]) <= 14:
+                label[root(j)] = root(i)
+    want = {i: min(j for j in known if root(j) == root(i)) for i in known}
+    got = {r["node"]: r["component"] for r in connected_components(edges.select("src", "dst")).collect()}
+    assert got == {i: g for i, g in want.items() if sum(x == g for x in want.values()) > 1}
+
+
+def test_streams_go_on_after_a_restart(spark, tmp_path):
+    path = f"file://{tmp_path}/restart"
+    edge = lambda a, b: spark.createDataFrame([(a, b)], "src long, dst long")
+    progressive.ProgressiveGroups(spark, path)(edge(1, 2), 0)
+    again = progressive.ProgressiveGroups(spark, path)
+    again(edge(2, 3), 1)
+    progressive.ProgressiveGroups(spark, path)(edge(2, 3), 1)  # the batch is given once more
+    held = {(r["group_id"], r["id"]) for r in progressive.current_groups(progressive.emissions(spark, path)).collect()}
+    assert held == {(1, 1), (1, 2), (1, 3)}
+    rows = lambda *x: spark.createDataFrame(list(x), "file_id long, seq long, removed boolean")
+    table = lambda: progressive.ChangeTable(spark, "file_id bigint, seq bigint, removed boolean", path=f"{path}-changes")
+    table()(rows((1, 1, False), (2, 1, False)), 0)
+    for _ in range(2):
+        table()(rows((1, 2, True)), 1)
+    assert sorted(tuple(r) for r in table().table.collect()) == [(1, 2, True), (2, 1, False)]
+
+
+def test_deep_folders_are_listed(spark):
+    f = spark.createDataFrame([(str(i), str(i - 1)) for i in range(1, 56)], "id string, parent_id string")
+    assert folders.breadth_first(f, spark.createDataFrame([("0",)], "id string")).count() == 56
+
+
+def test_numbers_follow_the_order(spark):
+    rows = spark.range(500).select(((F.col("id") * 7919) % 500).alias("id"), F.lit("g").alias("group_id"))
+    assert all(r["at"] == r["id"] + 1 for r in G.numbered(rows.repartition(7), "id", name="at").collect())

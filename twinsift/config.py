@@ -5,7 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 KEEP_RULES = ("newest", "oldest", "largest", "smallest", "hires", "folderPriority")
-LSH_MODES = ("auto", "loose", "normal", "strict")
+#: ``auto`` finds every pair within the threshold; ``planned`` takes one of the three settings by size and a sample, and can miss some.
+LSH_MODES = ("auto", "planned", "loose", "normal", "strict")
 #: Largest distance for each sensitivity level.
 SENSITIVITY = {1: 20, 2: 14, 3: 10, 4: 6, 5: 3}
 #: Steps offered for the item limit and the page size.

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from itertools import count
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinsift.operators.groups import numbered
 from twinsift.plans.workspace import materialize
 
 MAX_DEPTH = 50
 
 
-def breadth_first(folders: DataFrame, roots: DataFrame, excluded: DataFrame | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
+def breadth_first(folders: DataFrame, roots: DataFrame, excluded: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
     """(id, depth) of all folders under the roots, each once, at its least depth.
 
     An excluded folder is never entered, so its subtree is missing unless
     another way leads there. One join for each level, against the folders not
-    seen yet; a cycle ends when a level brings nothing new.
+    seen yet; a cycle ends when a level brings nothing new. The depth has no
+    limit unless the caller gives one.
     """
     tree = folders.select("id", "parent_id")
     gone = excluded.select("id").distinct() if excluded is not None else None
@@ -25,7 +29,7 @@ def breadth_first(folders: DataFrame, roots: DataFrame, excluded: DataFrame | No
 
     level = materialize(allowed(roots.select("id").distinct()).withColumn("depth", F.lit(0)), "level")
     seen = level
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         below = tree.join(level.select(F.col("id").alias("parent_id")), "parent_id").select("id").distinct()
         level = materialize(allowed(below.join(seen.select("id"), "id", "left_anti")).withColumn("depth", F.lit(depth)), "level")
         if level.isEmpty():
@@ -50,18 +54,11 @@ def flat(files: DataFrame, included: DataFrame, excluded: DataFrame | None = Non
 def scan_index(listed: DataFrame, *order: str) -> DataFrame:
     """``listed`` with ``idx`` from 0 in listing order: folder depth, folder, name, id by default.
 
-    Rows are numbered within each folder; folders get the sum of what stands
-    before them, so no task sees more than a folder's files or the folder list.
+    Rows are put in order over all partitions, whatever the size of a folder.
     """
     if order:
         raise ValueError("the listing order is fixed: depth, parent_id, name, id")
-    counts = listed.groupBy("depth", "parent_id").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("depth", "parent_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select(F.col("depth").alias("_d"), F.col("parent_id").alias("_p"), before.alias("_o"))
-    at = F.row_number().over(Window.partitionBy("depth", "parent_id").orderBy("name", "id")) - 1
-    numbered = listed.withColumn("_at", at)
-    joined = numbered.join(offsets, (F.col("depth") == F.col("_d")) & F.col("parent_id").eqNullSafe(F.col("_p")))
-    return joined.withColumn("idx", (F.col("_at") + F.col("_o")).cast("long")).drop("_at", "_d", "_p", "_o")
+    return numbered(listed, "depth", "parent_id", "name", "id", name="_number").withColumn("idx", F.col("_number") - 1).drop("_number")
 
 
 def first_items(indexed: DataFrame, limit: int | None) -> DataFrame:

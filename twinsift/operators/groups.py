@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinsift.operators.components import connected_components
+from twinsift.plans.workspace import materialize
 
 NO_PRIORITY = 999999
 
@@ -38,8 +39,25 @@ def match_groups(edges: DataFrame, files: DataFrame) -> DataFrame:
 
 def multiple(rows: DataFrame, group: str = "group_id") -> DataFrame:
     """Rows of groups that have at least two."""
-    n = F.count("*").over(Window.partitionBy(group))
-    return rows.withColumn("_n", n).filter("_n > 1").drop("_n")
+    many = rows.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n")).filter("_n > 1")
+    return rows.join(many, F.col(group).eqNullSafe(F.col("_g")), "left_semi")
+
+
+def numbered(rows: DataFrame, *order, name: str) -> DataFrame:
+    """``rows`` with their number from 1 in order.
+
+    Ranges of the order are numbered apart and shifted by what stands before
+    them, so no task sees more than a range. The ranges are written, since a
+    range's number must not change between its uses.
+    """
+    by = [F.col(c) if isinstance(c, str) else c for c in order]
+    ranged = materialize(rows.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()), "ranges")
+    # a row for each partition
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select(F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    at = F.row_number().over(Window.partitionBy("_range").orderBy(*by))
+    placed = ranged.withColumn("_at", at).join(F.broadcast(before), F.col("_range") == F.col("_r"))
+    return placed.withColumn(name, (F.col("_at") + F.col("_before")).cast("long")).drop("_range", "_r", "_at", "_before")
 
 
 def folder_rank(priority: list[str], *fields: Column) -> Column:
@@ -71,9 +89,12 @@ def keep_key(rule: str, size: Column, modified: Column, width: Column | None = N
 
 
 def mark_keep(rows: DataFrame, key: Column | None, group: str = "group_id", order: str = "idx") -> DataFrame:
-    """``rows`` with ``is_keep``: one row of each group, the first in order among equals."""
-    by = [key.asc(), F.col(order).asc()] if key is not None else [F.col(order).asc()]
-    return rows.withColumn("is_keep", F.row_number().over(Window.partitionBy(group).orderBy(*by)) == 1)
+    """``rows`` with ``is_keep``: one row of each group, the first in order among equals; ``order`` tells a group's rows apart."""
+    least = F.struct(*([key.alias("k")] if key is not None else []), F.col(order).alias("o"))
+    marked = rows.withColumn("_key", least)
+    first = marked.groupBy(F.col(group).alias("_g")).agg(F.min("_key").alias("_first"))
+    joined = marked.join(first, F.col(group).eqNullSafe(F.col("_g")))
+    return joined.withColumn("is_keep", F.col("_key").eqNullSafe(F.col("_first"))).drop("_key", "_g", "_first")
 
 
 def keep_ids(rows: DataFrame, key: Column, group: list[str], order: str = "idx") -> DataFrame:
@@ -89,7 +110,8 @@ def wasted_bytes(rows: DataFrame, group: list[str], size: str = "size") -> DataF
 
 def best_percent(rows: DataFrame, group: str = "group_id") -> DataFrame:
     """``rows`` with ``group_pct``, the highest percent of the group's rows that are not kept."""
-    return rows.withColumn("group_pct", F.max(F.when(~F.col("is_keep"), F.col("pct"))).over(Window.partitionBy(group)))
+    best = rows.groupBy(F.col(group).alias("_g")).agg(F.max(F.when(~F.col("is_keep"), F.col("pct"))).alias("group_pct"))
+    return rows.join(best, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
 
 
 def similarity_filter(rows: DataFrame, least: int | None, group: str = "group_id") -> DataFrame:
@@ -112,14 +134,13 @@ def ignore_groups(rows: DataFrame, groups: DataFrame, group: str = "group_id") -
 
 def display_order(rows: DataFrame) -> DataFrame:
     """Groups in order with a number from 1, each with its kept row first."""
-    n = F.dense_rank().over(Window.orderBy("group_id"))
-    return rows.withColumn("group_number", n).orderBy("group_id", F.desc("is_keep"), "idx")
+    names = numbered(rows.select(F.col("group_id").alias("_g")).distinct(), "_g", name="group_number").withColumn("group_number", F.col("group_number").cast("int"))
+    return rows.join(names, F.col("group_id").eqNullSafe(F.col("_g"))).drop("_g").orderBy("group_id", F.desc("is_keep"), "idx")
 
 
 def page(rows: DataFrame, start: int, size: int, *order) -> DataFrame:
     """A slice of the ordered rows."""
-    at = F.row_number().over(Window.orderBy(*order))
-    return rows.withColumn("_at", at).filter((F.col("_at") > start) & (F.col("_at") <= start + size)).drop("_at")
+    return numbered(rows, *order, name="_place").filter((F.col("_place") > start) & (F.col("_place") <= start + size)).drop("_place")
 
 
 def filter_stats(rows: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ differing bits than bands is always a candidate.
 
 from __future__ import annotations
 
+from itertools import combinations
 from math import gcd
 
 from pyspark.sql import Column, DataFrame, Window
@@ -67,6 +68,30 @@ def multiprobe_candidates(bands: DataFrame, bits: int, setting: str, id_: str =
     return joined.select(F.least(f"a.{id_}", f"b.{id_}").alias("i"), F.greatest(f"a.{id_}", f"b.{id_}").alias("j")).distinct()
 
 
+def lossless_candidates(hashes: DataFrame, parts, bits: int, threshold: int, id_: str = "id", value: str = "h") -> DataFrame:
+    """Distinct (i, j), i < j, among which are all pairs with hashes within ``threshold`` bits.
+
+    The hash is cut into blocks of two bytes. Of a near pair, some block differs
+    in at most threshold / blocks bits (rounded down); both sides list the keys within half
+    of that, so they meet. The larger the threshold, the more keys; nothing depends on the number
+    of rows. An id may have several hashes. ``parts`` gives a hash's bytes.
+    """
+    n = bits // 16
+    near = threshold // n
+    masks = lambda k: [sum(1 << b for b in c) for size in range(k + 1) for c in combinations(range(16), size)]
+    byte = parts(F.col(value))
+    blocks = F.array(*[F.struct(F.lit(i).alias("block"), (byte[2 * i].cast("int") * 256 + byte[2 * i + 1].cast("int")).alias("key")) for i in range(n)])
+    each = hashes.select(id_, F.explode(blocks).alias("_b")).select(id_, "_b.block", "_b.key").distinct()
+
+    def side(k: int) -> DataFrame:
+        flips = F.array(*map(F.lit, masks(k)))
+        return each.select(id_, "block", F.explode(F.transform(flips, lambda x: F.col("key").bitwiseXOR(x))).alias("key"))
+
+    a, b = side(near // 2).alias("a"), side(near - near // 2).alias("b")
+    joined = a.join(b, F.expr(f"a.block = b.block AND a.key = b.key AND a.{id_} <> b.{id_}"))
+    return joined.select(F.least(f"a.{id_}", f"b.{id_}").alias("i"), F.greatest(f"a.{id_}", f"b.{id_}").alias("j")).distinct()
+
+
 def bucket_stats(bands: DataFrame) -> DataFrame:
     """buckets, avg_size, max_size, singletons, candidate pairs and the reduction in percent."""
     sizes = bands.groupBy("band", "key").agg(F.count("*").alias("n"))
@@ -116,9 +141,9 @@ def tuned_setting(stats, threshold: int) -> str:
     return "strict" if stats["p50"] < 0.5 * threshold else "normal"
 
 
-def choose_setting(fps: DataFrame, distance, threshold: int, mode: str = "auto", id_: str = "id", fp: str = "fp") -> str:
+def choose_setting(fps: DataFrame, distance, threshold: int, mode: str = "planned", id_: str = "id", fp: str = "fp") -> str:
     """The setting asked for, or the one that the size and a bounded sample suggest."""
-    if mode != "auto":
+    if mode != "planned":
         return mode
     n = fps.count()
     if n < 200:

@@ -18,6 +18,7 @@ from twinsift.functions.fingerprints import hash_bytes, hash_bytes144
 from twinsift.functions.predicates import aspect_compatible, extension_enabled, is_supported, size_between
 from twinsift.operators import groups as G
 from twinsift.operators import lsh
+from twinsift.operators.folders import first_items
 from twinsift.operators.pairs import drop_rejected, window_candidates
 from twinsift.plans.workspace import materialize
 
@@ -29,6 +30,15 @@ def filter_files(files: DataFrame, config: ScanConfig) -> DataFrame:
     )
 
 
+def _first_items(files: DataFrame, config: ScanConfig) -> DataFrame:
+    """The first ``max_items`` files by scan position, before any filter."""
+    if config.max_items is None:
+        return files
+    if "idx" not in files.columns:
+        raise ValueError("a limit of items goes by scan position: files need idx")
+    return first_items(files, config.max_items)
+
+
 def _window_pairs(rows: DataFrame, reps: DataFrame, reach: int) -> DataFrame:
     """(i, j) of nodes that have rows less than ``reach`` positions apart with near brightness and edges.
 
@@ -43,6 +53,33 @@ def _window_pairs(rows: DataFrame, reps: DataFrame, reach: int) -> DataFrame:
     return both.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).distinct()
 
 
+def _band_pairs(nodes: DataFrame, distance, config: ScanConfig) -> DataFrame:
+    """(i, j) of nodes that share a band. In mode auto, no pair with fingerprints or, if compared, variants within the
+    threshold is missing; crops are compared among these pairs and, with colours, those of the window."""
+    parts = hash_bytes if config.bits == 64 else hash_bytes144
+    if config.lsh_mode != "auto":
+        setting = lsh.choose_setting(nodes.select("id", "fp"), distance, config.threshold, config.lsh_mode)
+        return lsh.candidates(lsh.explode_bands(nodes, parts(F.col("fp")), config.bits, setting, "id"))
+    every = F.concat(F.array("fp"), F.coalesce(F.col("variants"), F.array())) if config.with_variants else F.array("fp")
+    return lsh.lossless_candidates(nodes.select("id", F.explode(every).alias("h")), parts, config.bits, config.threshold)
+
+
+def scan_fingerprints(found: DataFrame, bits: int = 144) -> DataFrame:
+    """The rows of ``fingerprint_images`` in the form that :func:`match_edges` takes; images with an error have no row.
+
+    Crops have hashes of 144 bits only.
+    """
+    hash_ = "d8" if bits == 64 else "d12"
+    crops = F.transform("crops", lambda c: c["d12"]) if bits == 144 else F.lit(None).cast("array<bigint>")
+    variants = F.transform("variants", lambda v: v[hash_])
+    return found.filter("error IS NULL").select("id", F.col(hash_).alias("fp"), variants.alias("variants"), crops.alias("crops"), "color_hist", "edge_hist", "phash")
+
+
+def failed_images(found: DataFrame) -> DataFrame:
+    """(id, error) of the images that have no fingerprint."""
+    return found.filter("error IS NOT NULL").select("id", "error")
+
+
 def match_edges(files: DataFrame, fps: DataFrame, config: ScanConfig, rejections: DataFrame | None = None) -> DataFrame:
     """(src, dst, dist, match_type) between files by fingerprint.
 
@@ -53,7 +90,6 @@ def match_edges(files: DataFrame, fps: DataFrame, config: ScanConfig, rejections
     if config.with_crops and config.with_colour and "idx" not in files.columns:
         raise ValueError("crops with colours are matched by scan position too: files need idx")
     distance = D.hamming if config.bits == 64 else D.hamming144
-    parts = hash_bytes(F.col("fp")) if config.bits == 64 else hash_bytes144(F.col("fp"))
     t = config.threshold
     rows = files.select("id", "width", "height").join(fps, "id").filter("fp IS NOT NULL")
     # rows that no pair test can tell apart share a node
@@ -62,8 +98,7 @@ def match_edges(files: DataFrame, fps: DataFrame, config: ScanConfig, rejections
     reps = rows.groupBy("_sig").agg(F.min("id").alias("_rep"))
     copies = rows.select("id", "_sig").join(reps, "_sig").filter("id <> _rep").select(F.col("_rep").alias("src"), F.col("id").alias("dst"), F.lit(0).alias("dist"), F.lit("structural").alias("match_type"))
     nodes = materialize(rows.join(reps.select("_rep"), F.col("id") == F.col("_rep"), "left_semi").drop("_sig"), "nodes")
-    setting = lsh.choose_setting(nodes.select("id", "fp"), distance, t, config.lsh_mode)
-    found = lsh.candidates(lsh.explode_bands(nodes, parts, config.bits, setting, "id"))
+    found = _band_pairs(nodes, distance, config)
     if config.with_crops and config.with_colour:
         found = found.select("i", "j").union(_window_pairs(rows.join(files.select("id", "idx"), "id"), reps, config.window)).distinct()
     a, b = nodes.alias("a"), nodes.alias("b")
@@ -88,7 +123,7 @@ def match_edges(files: DataFrame, fps: DataFrame, config: ScanConfig, rejections
 def run_scan(files: DataFrame, fps: DataFrame, config: ScanConfig | None = None, rejections: DataFrame | None = None) -> DataFrame:
     """Ranked rows: group_id, id, is_keep, dist, pct, badge, group_pct and the file's columns."""
     config = config or ScanConfig()
-    listed = filter_files(files.dropDuplicates(["id"]), config)
+    listed = filter_files(_first_items(files.dropDuplicates(["id"]), config), config)
     edges = match_edges(listed, fps, config, rejections).select("src", "dst")
     if config.exact_edges:
         edges = edges.union(G.exact_edges(listed))

@@ -23,6 +23,7 @@ from twinsift.operators import groups as G
 from twinsift.operators.components import connected_components
 from twinsift.plans import scan
 from twinsift.sources import writers
+from twinsift.plans.workspace import materialize
 from twinsift.streaming import progressive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,13 +210,13 @@ def links(spark, sf_dir):
 _NEAR = lambda x, y: f"abs({x} - {y}) / greatest({x}, {y}) <= 0.2"
 
 
-@query(f"""WITH {FILES}, p AS (SELECT id, width, height, md5, size FROM f) SELECT a.id AS i, b.id AS j FROM p a JOIN p b ON a.size % 97 = b.size % 97 AND a.id < b.id
+@query(f"""WITH {PAIRS}, {FILES} SELECT c.i, c.j FROM c JOIN f a ON a.id = c.i JOIN f b ON b.id = c.j
   WHERE a.width IS NULL OR b.width IS NULL OR {_NEAR('a.width::double / a.height', 'b.width::double / b.height')} OR {_NEAR('a.width::double / a.height', '(1 / (b.width::double / b.height))')}""")
 def aspect_pairs(spark, sf_dir):
-    p = catalogue(spark, sf_dir).select("id", "width", "height", (F.col("size") % 97).alias("k"))
-    a, b = p.alias("a"), p.alias("b")
+    """The candidate pairs, embeddings being the fingerprints of the files of equal id, that pass the aspect rule."""
+    p = catalogue(spark, sf_dir).select("id", "width", "height")
     fits = C.aspect_compatible(F.col("a.width"), F.col("a.height"), F.col("b.width"), F.col("b.height"))
-    return a.join(b, F.expr("a.k = b.k AND a.id < b.id") & fits).select(F.col("a.id").alias("i"), F.col("b.id").alias("j"))
+    return pairs.attach(lsh.candidates(bands(spark, sf_dir)), p, "id").filter(fits).select("i", "j")
 
 
 # --- fingerprints and distances -------------------------------------------------------------------------------
@@ -260,6 +261,15 @@ def lsh_matches(spark, sf_dir):
     return edges(spark, sf_dir).select("i", "j", "dist")
 
 
+@query(f"WITH {VECTORS} SELECT a.id AS i, b.id AS j, bit_count(xor(a.fp, b.fp))::int AS dist FROM v a JOIN v b ON a.id < b.id WHERE bit_count(xor(a.fp, b.fp)) <= {T}")
+def lossless_matches(spark, sf_dir):
+    """What a scan in mode auto compares: no pair within T bits is missing."""
+    v = vectors(spark, sf_dir).select("id", "fp")
+    found = lsh.lossless_candidates(v, P.hash_bytes, 64, T, value="fp")
+    scored = pairs.attach(found, v, "id").select("i", "j", D.hamming(F.col("a.fp"), F.col("b.fp")).alias("dist"))
+    return scored.filter(F.col("dist") <= T)
+
+
 @query(None)
 def distance_distribution(spark, sf_dir):
     return lsh.distribution(lsh.sample_distances(vectors(spark, sf_dir).select("id", "fp"), D.hamming, 100))
@@ -356,11 +366,11 @@ def phash_scaled(spark, sf_dir):
     return both.select("i", "j", d.cast("int").alias("dist"))
 
 
-@query(f"""WITH {HISTS} SELECT a.id AS i, b.id AS j FROM q a JOIN q b ON a.id < b.id AND b.id < a.id + 50
+@query(f"""WITH {HISTS} SELECT a.id AS i, b.id AS j FROM q a JOIN q b ON a.id < b.id AND b.id < a.id + 2000
   WHERE list_sum(list_transform(range(1, 9), lambda k: abs(a.c[k] - b.c[k]))) < 60 AND list_sum(list_transform(range(1, 9), lambda k: abs(a.g[k] - b.g[k]))) < 90""")
 def range_window_candidates(spark, sf_dir):
     l1 = lambda c: F.aggregate(F.zip_with(f"a.{c}", f"b.{c}", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    return pairs.window_candidates(histograms(spark, sf_dir), "id", 50, (l1("c") < 60) & (l1("g") < 90), "c", "g")
+    return pairs.window_candidates(histograms(spark, sf_dir), "id", 2000, (l1("c") < 60) & (l1("g") < 90), "c", "g")
 
 
 # --- rejections, components, scores ---------------------------------------------------------------------------
@@ -494,9 +504,9 @@ def flat_scan(spark, sf_dir):
     return folders.flat(customers(spark, sf_dir), ids("n1", "n5", "n9"), ids("n9")).select("id", "name")
 
 
-@query(f"WITH {TREE} SELECT id, name FROM t WHERE contains(lower(name), 'an')")
+@query(f"WITH {TREE} SELECT id, name FROM t WHERE contains(lower(name), 'at')")
 def folder_search(spark, sf_dir):
-    return folders.search(tree(spark, sf_dir), "AN").select("id", "name")
+    return folders.search(tree(spark, sf_dir), "AT").select("id", "name")
 
 
 # --- change feed, cache, actions ------------------------------------------------------------------------------
@@ -672,12 +682,25 @@ def change_feed_stream(spark, sf_dir):
 @query(None)
 def image_dhash(spark, sf_dir):
     """Embeddings as gray 8 x 8 images through the image UDF."""
+    out = image_fingerprints(spark, sf_dir)
+    return out.select(F.col("id").cast("long").alias("id"), "d8", "d12.w0", "d12.w1", "d12.w2", "phash", F.size("variants").alias("n_variants"), F.size("crops").alias("n_crops"), "error")
+
+
+def image_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     byte = lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(x.cast("double") * 128 + 128).cast("int")))
     data = F.unhex(F.array_join(F.transform("embedding", lambda x: F.lpad(F.hex(byte(x)), 2, "0")), ""))
     image = F.struct(F.lit("").alias("origin"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), F.lit(0).alias("mode"), data.alias("data"))
     rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), image.alias("image"))
-    out = P.fingerprint_images(rows, variants=True, rotations=True, crops=True, colour=True, freq=True)
-    return out.select(F.col("id").cast("long").alias("id"), "d8", "d12.w0", "d12.w1", "d12.w2", "phash", F.size("variants").alias("n_variants"), F.size("crops").alias("n_crops"), "error")
+    return P.fingerprint_images(rows, variants=True, rotations=True, crops=True, colour=True, freq=True)
+
+
+@query(None)
+def image_scan(spark, sf_dir):
+    """From images to groups: decode, fingerprint, match with variants and the frequency hash, group."""
+    files = catalogue(spark, sf_dir).withColumn("mime_type", F.lit("image/png"))
+    found = materialize(image_fingerprints(spark, sf_dir).withColumn("id", F.col("id").cast("long")), "fingerprints")
+    config = ScanConfig(bits=144, max_distance=14, with_variants=True, with_rotations=True, with_phash=True, aspect_filter=False)
+    return scan.run_scan(files, scan.scan_fingerprints(found), config).select("group_id", "id", "is_keep", "dist", "pct", "badge", "group_pct")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

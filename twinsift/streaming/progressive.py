@@ -1,6 +1,8 @@
 """Matches as they arrive: groups updated batch by batch, and the change feed.
 
-State is a table of labels in the shared folder, a new version for each batch.
+State is a table in the sink's folder, a new version for each batch. A batch reads the
+last version below its own number, so a batch that is given again, or to a new sink after a
+restart, has the result it had.
 A new edge can merge groups; then the groups that are absorbed are emitted as
 retired, so a consumer keyed by group can replace them.
 """
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from twinsift.operators.components import connected_components
-from twinsift.plans.workspace import materialize, shared_dir
+from twinsift.plans.workspace import discard, materialize, remove, shared_dir, subfolders
 
 LABELS = "node bigint, component bigint"
 EMISSIONS = "batch bigint, group_id bigint, id bigint, retired boolean"
@@ -32,6 +34,38 @@ def merge_labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return labels.union(fresh).join(moved, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
 
 
+class Versions:
+    """A table with a version for each batch that changed it, in a shared folder."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.spark, self.path, self.schema = spark, path, schema
+
+    def numbers(self) -> list[int]:
+        """Versions whose writing ended."""
+        names = [n for n in subfolders(self.spark, self.path) if n.startswith("v") and n[1:].isdigit()]
+        return sorted(int(n[1:]) for n in names if subfolders(self.spark, f"{self.path}/{n}/done"))
+
+    def before(self, batch: int | None = None) -> DataFrame:
+        """The last version below ``batch``, or the last of all."""
+        done = [n for n in self.numbers() if batch is None or n < batch]
+        if not done:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{done[-1]}/done/rows")
+
+    def write(self, batch: int, rows: DataFrame) -> DataFrame:
+        """Write a version; those before the last two go, since only the last batch can be given again."""
+        columns = [c.strip().split(" ")[0] for c in self.schema.split(",")]
+        rows.select(*columns).write.mode("overwrite").parquet(f"{self.path}/v{batch}/made/rows")
+        fs_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        made, done = fs_path(f"{self.path}/v{batch}/made"), fs_path(f"{self.path}/v{batch}/done")
+        fs = made.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        fs.delete(done, True)
+        fs.rename(made, done)
+        for old in [n for n in self.numbers() if n < batch][:-1]:
+            remove(self.spark, f"{self.path}/v{old}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{batch}/done/rows")
+
+
 class ProgressiveGroups:
     """A foreachBatch sink that keeps labels and writes what changed.
 
@@ -42,20 +76,25 @@ class ProgressiveGroups:
 
     def __init__(self, spark: SparkSession, path: str):
         self.path = path
-        self.labels = materialize(spark.createDataFrame([], LABELS), "labels")
+        self.versions = Versions(spark, f"{path}/_labels", LABELS)
+
+    @property
+    def labels(self) -> DataFrame:
+        return self.versions.before()
 
     def __call__(self, edges: DataFrame, batch: int) -> None:
         edges = materialize(edges.select("src", "dst").filter("src <> dst").distinct(), "edges")
         if edges.isEmpty():
             return
-        before, after = self.labels, materialize(merge_labels(self.labels, edges), "labels")
+        before = self.versions.before(batch)
+        after = self.versions.write(batch, merge_labels(before, edges))
         old, new = before.alias("o"), after.alias("n")
         changed = new.join(old, F.expr("n.node = o.node AND n.component = o.component"), "left_anti").select("component").distinct()
         members = after.join(changed, "component").select(F.lit(batch).alias("batch"), F.col("component").alias("group_id"), F.col("node").alias("id"), F.lit(False).alias("retired"))
         gone = before.select("component").distinct().join(after.select("component").distinct(), "component", "left_anti")
         retired = gone.select(F.lit(batch).alias("batch"), F.col("component").alias("group_id"), F.lit(None).cast("bigint").alias("id"), F.lit(True).alias("retired"))
         members.union(retired).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
-        self.labels = after
+        discard(edges)
 
 
 def emissions(spark: SparkSession, path: str) -> DataFrame:
@@ -97,13 +136,17 @@ def merge_changes(files: DataFrame, latest: DataFrame, id_: str = "id", file_id:
 class ChangeTable:
     """A foreachBatch sink that keeps the latest change of each file in the shared folder."""
 
-    def __init__(self, spark: SparkSession, schema: str, id_: str = "file_id", seq: str = "seq"):
+    def __init__(self, spark: SparkSession, schema: str, id_: str = "file_id", seq: str = "seq", path: str | None = None):
         self.id, self.seq = id_, seq
-        self.table = materialize(spark.createDataFrame([], schema), "changes")
+        self.versions = Versions(spark, path or checkpoint_dir(spark, "change-table"), schema)
+
+    @property
+    def table(self) -> DataFrame:
+        return self.versions.before()
 
-    def __call__(self, batch: DataFrame, _: int) -> None:
-        rows = batch.select(*self.table.columns)
-        self.table = materialize(latest_changes(self.table.union(rows), self.id, self.seq).select(*self.table.columns), "changes")
+    def __call__(self, rows: DataFrame, batch: int) -> None:
+        before = self.versions.before(batch)
+        self.versions.write(batch, latest_changes(before.union(rows.select(*before.columns)), self.id, self.seq))
 
 
 def checkpoint_dir(spark: SparkSession, name: str) -> str:
