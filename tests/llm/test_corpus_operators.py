@@ -388,6 +388,18 @@ def test_line_query_finds_similar_lines_of_every_length(spark, tmp_path):
     assert all(found[k] >= 0.9 * n for k, n in total.items())
 
 
+def test_line_recall_against_all_pairs(spark, sf):
+    """Of all pairs of lines of up to 64 words with edit similarity 0.8 or more, nearly all share a group."""
+    nodes = lines.materialize(lines.distinct_lines(lines.lines(spark.read.parquet(f"{sf}/documents.parquet"))), "lines")
+    n = nodes.filter(F.size(F.split("norm", " ")) <= lines.MANY_WORDS).select("node", "norm").repartition(16)
+    a, b = n.alias("a"), n.alias("b")
+    most = F.floor(F.greatest(F.length("a.norm"), F.length("b.norm")) * 0.2 + 1e-9).cast("int")
+    near = F.when(F.abs(F.length("a.norm") - F.length("b.norm")) <= most, F.call_function("levenshtein", F.col("a.norm"), F.col("b.norm"), most) >= 0)
+    want = [tuple(r) for r in a.join(b, F.expr("a.node < b.node") & near).select("a.node", "b.node").collect()]
+    group = {r["node"]: r["g"] for r in lines.gram_groups(nodes).collect()}
+    assert want and sum(x in group and group[x] == group.get(y) for x, y in want) >= 0.9 * len(want)
+
+
 # --- 6 language model -----------------------------------------------------------------------------------------
 
 
