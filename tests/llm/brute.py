@@ -172,7 +172,7 @@ def stable_key(doc_id):
     return int(hashlib.md5(("null" if doc_id is None else str(doc_id)).encode()).hexdigest()[:16], 16)
 
 
-def language_model(docs, order=3, discount=0.75, least=2):
+def language_model(docs, order=3, discount=0.75, least=1):
     """One (n_tokens, n_known, N, base, score) for each doc."""
     tokens = [["<s>", *words((t or "").translate(LOWER)), "</s>"] for _, t in docs]
     train = [w for (d, _), w in zip(docs, tokens, strict=True) if crc(d, 7) != 2]

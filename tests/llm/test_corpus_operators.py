@@ -403,10 +403,11 @@ def test_line_recall_against_all_pairs(spark, sf):
 # --- 6 language model -----------------------------------------------------------------------------------------
 
 
-def test_lm_scores(docs, empty):
-    rows = lm_scoring.score(docs).collect()
+@pytest.mark.parametrize("least", [1, 2])
+def test_lm_scores(docs, empty, least):
+    rows = lm_scoring.score(docs, least=least).collect()
     want = collections.defaultdict(list)
-    for (d, _), w in zip(PAIRS, brute.language_model(PAIRS), strict=True):
+    for (d, _), w in zip(PAIRS, brute.language_model(PAIRS, least=least), strict=True):
         want[d].append(w)
     assert len(rows) == len(ROWS)
     got = collections.defaultdict(list)

@@ -8,9 +8,9 @@ context without its first word, whose weight is the discounted mass:
     arc(h, w)  = (c(hw) - D) / c(h) + fail(h) * P(w | h')
     fail(h)    = 1 - (mass of stored continuations of h - D * their number) / c(h)
 
-An n-gram of two or more words is stored if it occurs ``least`` times; a
-context's discounted mass includes those that are not. The query stores all
-(``least`` 1). Probabilities of all tokens after any history sum to one.
+An n-gram of two or more words is stored if it occurs ``least`` times, by
+default once, so that all are; with a larger ``least``, a context's discounted
+mass includes those that are not stored. Probabilities of all tokens after any history sum to one.
 
 The automaton covers the whole training corpus, so no task holds all of it.
 Documents are dealt to blocks. A block asks the counting buckets for what its
@@ -53,8 +53,8 @@ from twinsift.llm.packing import deltas, each_bucket, pack, small, unpack
 from twinsift.plans.workspace import discard, materialize
 
 ORDER = 3
-#: Least count of a stored n-gram, unless the caller gives another.
-MIN_COUNT = 2
+#: Least count of a stored n-gram, unless the caller gives another: all are stored.
+MIN_COUNT = 1
 DISCOUNT = 0.75
 FOLDS, HELD_OUT = 7, 2
 #: Hash of the end token; no word is read as it.
@@ -407,4 +407,4 @@ def score(docs: DataFrame, order: int = ORDER, least: int = MIN_COUNT) -> DataFr
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(documents(spark, sf_dir), least=1)
+    return score(documents(spark, sf_dir))
