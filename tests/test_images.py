@@ -62,7 +62,8 @@ def test_reader_and_errors(spark, tmp_path):
     (tmp_path / "broken.png").write_bytes(png(NOISE)[:200])
     images = read_images(spark, str(tmp_path))
     rows = {r["id"].split("/")[-1]: r for r in P.fingerprint_images(images, crops=True, colour=True, freq=True).collect()}
-    assert set(rows) == {"a.png", "b.png"}
+    assert set(rows) == {"a.png", "b.png", "broken.png"}
+    assert rows["broken.png"]["d12"] is None and rows["broken.png"]["error"]
     assert rows["b.png"]["d12"] == (-1, -1, 65535) and rows["a.png"]["error"] is None
     bad = spark.sql("SELECT 'x' AS id, named_struct('origin', '', 'height', 2, 'width', 2, 'nChannels', 3, 'mode', 16, 'data', X'00') AS image")
     row = P.fingerprint_images(bad).first()

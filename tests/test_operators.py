@@ -291,3 +291,18 @@ def test_deep_folders_are_listed(spark):
 def test_numbers_follow_the_order(spark):
     rows = spark.range(500).select(((F.col("id") * 7919) % 500).alias("id"), F.lit("g").alias("group_id"))
     assert all(r["at"] == r["id"] + 1 for r in G.numbered(rows.repartition(7), "id", name="at").collect())
+
+
+def test_pages_of_a_folder_give_each_file_once(spark):
+    rows = spark.createDataFrame([(i, f"n{i % 3}", "p" if i % 5 else "q") for i in range(40)], "id int, name string, parent_id string")
+    got, after = [], None
+    while found := [(r["name"], r["id"]) for r in readers.listing_page(rows, "p", 7, after).collect()]:
+        got, after = got + found, found[-1]
+    assert got == sorted((f"n{i % 3}", i) for i in range(40) if i % 5)
+
+
+def test_broken_cache_lines_come_with_an_error(spark, tmp_path):
+    (tmp_path / "cache.json").write_text('{"id": "a", "d8": 5}\n{"id": "b", \n{"id": "c", "d8": "x"}\n')
+    rows = {r["id"]: (r["d8"], r["error"]) for r in readers.import_cache(spark, str(tmp_path), "id string, d8 bigint").collect()}
+    assert rows["a"] == (5, None) and rows["c"] == (None, '{"id": "c", "d8": "x"}')
+    assert [e for _, e in rows.values() if e and e.startswith('{"id": "b"')]

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from twinsift.config import SENSITIVITY
+
 #: Fixed values of the decision ladder.
 CROP_LENIENCY, CROP_COMBINED, PROMOTE_COMBINED, PROMOTE_REACH = 1.3, 0.12, 0.06, 2
 COLOUR_SHARE, EDGE_SHARE = 0.4, 0.6
@@ -89,6 +91,14 @@ def with_phash(dist: Column, phash: Column, bound: int) -> Column:
     return F.when(phash <= bound, F.least(dist, scaled)).otherwise(dist)
 
 
+def sensitivity_threshold(level: Column) -> Column:
+    """The largest distance of a sensitivity level; 10 if unknown."""
+    out = F
+    for known, distance in SENSITIVITY.items():
+        out = out.when(level == known, distance)
+    return out.otherwise(10)
+
+
 def normalised_phash(d: Column) -> Column:
     return d / 64
 

@@ -28,6 +28,11 @@ def reject(pairs: DataFrame, hash_a: str, hash_b: str, seq: Column) -> DataFrame
     return pairs.select(F.least(hash_a, hash_b).alias("lo"), F.greatest(hash_a, hash_b).alias("hi"), seq.alias("seq"))
 
 
+def rejection_count(rejections: DataFrame) -> DataFrame:
+    """One row: ``rejected``, the number of distinct rejected pairs."""
+    return rejections.select("lo", "hi").distinct().agg(F.count("*").alias("rejected"))
+
+
 def newest_rejections(rejections: DataFrame, most: int = MAX_REJECTIONS) -> DataFrame:
     """The newest distinct pairs, ``most`` of them: each counts from when it was first recorded."""
     first = rejections.groupBy("lo", "hi").agg(F.min("seq").alias("seq"))

@@ -152,3 +152,11 @@ def scan_stats(files: DataFrame, groups: DataFrame, cache_hits: int = 0) -> Data
     f = files.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
     g = groups.agg(F.count_distinct("group_id").alias("groups"), F.count("*").alias("grouped_files"))
     return f.join(g).withColumn("cache_pct", F.when(F.col("files") > 0, F.floor(F.lit(cache_hits) * 100 / F.col("files") + 0.5).cast("long")).otherwise(0))
+
+
+def hashing_stats(fingerprints: DataFrame, cache_hits: DataFrame) -> DataFrame:
+    """One row: fingerprints made and failed, cache hits, and their share in tenths of a percent."""
+    made = fingerprints.agg(F.count_if(F.col("error").isNull()).alias("success"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+    both = made.join(cache_hits.agg(F.count("*").alias("cache_hits")))
+    share = F.col("cache_hits") * 1000 / F.greatest(F.lit(1), F.col("success") + F.col("cache_hits"))
+    return both.withColumn("cache_permille", F.floor(share + 0.5).cast("long"))

@@ -22,8 +22,9 @@ from twinsift.operators import cache, feedback, folders, lsh, pairs
 from twinsift.operators import groups as G
 from twinsift.operators.components import connected_components
 from twinsift.plans import scan
-from twinsift.sources import writers
 from twinsift.plans.workspace import materialize
+from twinsift.sources import readers, writers
+from twinsift.sources.state import remaining_seconds
 from twinsift.streaming import progressive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -642,6 +643,76 @@ def telemetry(spark, sf_dir):
     return one.select("hashed", "candidates", "matches", share.alias("compared_pct"))
 
 
+@query(f"WITH {FILES} SELECT id, name, size FROM f WHERE id IN (SELECT doc_id FROM labels)")
+def file_lookup(spark, sf_dir):
+    return readers.files_of(catalogue(spark, sf_dir), read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))).select("id", "name", "size")
+
+
+@query(f"WITH {FILES} SELECT id, name FROM f WHERE parent_id = 'src1' AND (name > 'Photo_2' OR (name = 'Photo_2' AND id > 2)) ORDER BY name, id LIMIT 100")
+def listing_page(spark, sf_dir):
+    return readers.listing_page(catalogue(spark, sf_dir), "src1", 100, ("Photo_2", 2)).select("id", "name")
+
+
+@query(f"WITH {TREE} SELECT id, name FROM t WHERE parent_id = 'r1'")
+def subfolders(spark, sf_dir):
+    return folders.children(tree(spark, sf_dir), "r1").select("id", "name")
+
+
+@query(f"WITH {FILES}, l AS (SELECT id, 'https://t.example/' || id || CASE id % 3 WHEN 0 THEN '=s220' WHEN 1 THEN '=s64-c' ELSE '' END AS link FROM f) SELECT id, CASE WHEN id % 3 < 2 THEN regexp_replace(link, '=s[0-9]+(-c)?', '=s256') ELSE link || '=s256' END AS thumbnail_link FROM l")
+def thumbnail_links(spark, sf_dir):
+    size = F.when(F.col("id") % 3 == 0, "=s220").when(F.col("id") % 3 == 1, "=s64-c").otherwise("")
+    linked = catalogue(spark, sf_dir).withColumn("thumbnail_link", F.concat(F.lit("https://t.example/"), F.col("id").cast("string"), size))
+    return readers.thumbnail_links(linked).select("id", "thumbnail_link")
+
+
+@query(f"WITH {FILES} SELECT id, mime_type = 'text/plain' AS folder FROM f")
+def folder_mime(spark, sf_dir):
+    return catalogue(spark, sf_dir).select("id", C.is_folder_mime(F.col("mime_type"), "text/plain").alias("folder"))
+
+
+@query("SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;')) AS escaped FROM pages")
+def escaped_pages(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", F.md5(C.escape_html(F.col("html"))).alias("escaped"))
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 120 BETWEEN 1 AND 99 THEN n_chars::double * (100 - doc_id % 120) / (doc_id % 120) WHEN doc_id % 120 >= 100 THEN 0::double END AS seconds FROM documents")
+def time_left(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), remaining_seconds(F.col("doc_id") % 120, F.col("n_chars").cast("double")).alias("seconds"))
+
+
+@query("SELECT doc_id AS id, CASE doc_id % 7 WHEN 1 THEN 20 WHEN 2 THEN 14 WHEN 3 THEN 10 WHEN 4 THEN 6 WHEN 5 THEN 3 ELSE 10 END AS threshold FROM documents")
+def sensitivity_thresholds(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), D.sensitivity_threshold(F.col("doc_id") % 7).alias("threshold"))
+
+
+@query(f"WITH {PAIRS}, z AS (SELECT i, j, bit_count(xor(fa, fb))::int AS d FROM c) SELECT i, j, CASE WHEN d <= {T} THEN d END AS within, d / 64::double AS share, floor((1 - d / 64::double) * 100 + 0.5)::int AS export_pct FROM z")
+def pair_distances(spark, sf_dir):
+    both = pairs.attach(lsh.candidates(bands(spark, sf_dir)), vectors(spark, sf_dir).select("id", "fp"), "id")
+    a, b = F.col("a.fp"), F.col("b.fp")
+    d = D.hamming(a, b)
+    return both.select("i", "j", D.hamming_within(a, b, T).alias("within"), D.normalised_phash(d).alias("share"), D.export_percent(d, 64).alias("export_pct"))
+
+
+@query(f"WITH RECURSIVE {REACH} SELECT count(DISTINCT group_id)::bigint AS groups, count(*)::bigint AS rows FROM comp")
+def filter_stats(spark, sf_dir):
+    return G.filter_stats(groups(spark, sf_dir))
+
+
+@query(f"WITH {EDGES} SELECT count(DISTINCT (least(fa, fb), greatest(fa, fb)))::bigint AS rejected FROM e")
+def rejection_count(spark, sf_dir):
+    return feedback.rejection_count(feedback.reject(edges(spark, sf_dir), "fa", "fb", F.col("i")))
+
+
+@query("""SELECT success, failed, cache_hits, floor(cache_hits * 1000 / greatest(1, success + cache_hits)::double + 0.5)::bigint AS cache_permille
+  FROM (SELECT count(*) FILTER (vec_id % 7 <> 0) AS success, count(*) FILTER (vec_id % 7 = 0) AS failed FROM embeddings), (SELECT count(*) AS cache_hits FROM documents WHERE doc_id % 4 = 0 AND doc_id % 10 <> 0)""")
+def hashing_stats(spark, sf_dir):
+    """Each seventh image is cut short and cannot be decoded."""
+    cut = F.when(F.col("id") % 7 == 0, F.substring("image.data", 1, 20)).otherwise(F.col("image.data"))
+    images = embedding_images(spark, sf_dir).withColumn("image", F.col("image").withField("data", cut))
+    hits = catalogue(spark, sf_dir).filter((F.col("id") % 4 == 0) & (F.col("id") % 10 != 0))
+    return G.hashing_stats(P.fingerprint_images(images), hits)
+
+
 @query(None)
 def similar_scan(spark, sf_dir):
     """A whole scan: embeddings are the fingerprints of the files of equal id."""
@@ -686,12 +757,15 @@ def image_dhash(spark, sf_dir):
     return out.select(F.col("id").cast("long").alias("id"), "d8", "d12.w0", "d12.w1", "d12.w2", "phash", F.size("variants").alias("n_variants"), F.size("crops").alias("n_crops"), "error")
 
 
-def image_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+def embedding_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     byte = lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(x.cast("double") * 128 + 128).cast("int")))
     data = F.unhex(F.array_join(F.transform("embedding", lambda x: F.lpad(F.hex(byte(x)), 2, "0")), ""))
     image = F.struct(F.lit("").alias("origin"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), F.lit(0).alias("mode"), data.alias("data"))
-    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), image.alias("image"))
-    return P.fingerprint_images(rows, variants=True, rotations=True, crops=True, colour=True, freq=True)
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), image.alias("image"))
+
+
+def image_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.fingerprint_images(embedding_images(spark, sf_dir), variants=True, rotations=True, crops=True, colour=True, freq=True)
 
 
 @query(None)

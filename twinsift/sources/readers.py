@@ -23,9 +23,27 @@ def listing(files: DataFrame, trashed: Column | None = None) -> DataFrame:
     return rows if trashed is None else rows.filter(~F.coalesce(trashed, F.lit(False)))
 
 
+def files_of(files: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of some ids."""
+    return files.join(ids.select("id").distinct(), "id", "left_semi")
+
+
+def listing_page(files: DataFrame, parent: str, size: int, after: tuple[str, int | str] | None = None) -> DataFrame:
+    """The next ``size`` files of a folder in the order of (name, id), from the last (name, id) of the page before.
+
+    The page token is a position in the order and not a count, so that no page
+    reads or sorts those before it, and a file added meanwhile shifts none.
+    """
+    rows = files.filter(F.col("parent_id") == parent)
+    if after is not None:
+        name, id_ = (F.lit(x) for x in after)
+        rows = rows.filter((F.col("name") > name) | ((F.col("name") == name) & (F.col("id") > id_)))
+    return rows.orderBy("name", "id").limit(size)
+
+
 def read_images(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(id, image) of a folder of images; id is the path, undecodable files are dropped by the source."""
-    reader = spark.read.format("image").option("dropInvalid", True)
+    """(id, image) of a folder of images; id is the path. An undecodable file has a height of -1, and ends with an error in its fingerprints."""
+    reader = spark.read.format("image").option("dropInvalid", False)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     return reader.load(path).select(F.col("image.origin").alias("id"), "image")
@@ -63,8 +81,8 @@ def stream_changes(spark: SparkSession, path: str, schema: str = CHANGES, per_tr
 
 
 def import_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Cache records from JSON lines; broken lines are dropped."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """Cache records from JSON lines, with a column ``error``: the line itself where it could not be read, else null."""
+    return spark.read.schema(f"{schema}, error string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "error").json(path)
 
 
 def settings(table: DataFrame, defaults: dict[str, str]) -> dict[str, str]:
