@@ -89,6 +89,12 @@ def test_mixed_rows_are_the_copies(docs):
     assert out.columns == docs.columns and abs(out.count() - chosen) <= 2
 
 
+def test_the_mix_is_planned_once(docs):
+    """The figures of the sources come as local tables: their plans are not copied into each column that uses them."""
+    plan = mixing.mixed_documents(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") <= 4 and plan.count("Window") <= 8, plan
+
+
 def test_mixed_rows_are_exactly_those_taken(spark):
     """Equal rows, also of several sources, share their copies without loss or gain."""
     for rows in ([(1, "a b c", "s")] * 3 + [(2, "d e", "s")], [(1, "a b", s) for s in ("s", "t", None)] * 2 + [(i, "x y z", "t") for i in range(9)]):

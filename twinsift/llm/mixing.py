@@ -70,6 +70,14 @@ def targets(sizes: DataFrame) -> DataFrame:
     return spark.createDataFrame(data, schema)
 
 
+def _fetched(few: DataFrame) -> DataFrame:
+    """The same rows without their plan, by way of the driver; for tables of a row for each source, as :func:`targets` holds.
+
+    The figures of one step are in each column of the next, and a plan that carries them all is planned and compiled in many copies.
+    """
+    return few.sparkSession.createDataFrame(few.collect(), few.schema)
+
+
 def _inclusion_scale(sizes: DataFrame, goals: DataFrame) -> DataFrame:
     """(source, scale): a document's probability is scale * size ** SIZE_POWER, at most 1.
 
@@ -98,7 +106,7 @@ def mix(docs: DataFrame) -> DataFrame:
     """Copies of every document: doc_id, key, source, size, its source's figures, copies, taken."""
     sized = materialize(docs.select("doc_id", text_key(F.col("text")).alias("key"), "source", n_words(F.col("text")).alias("size")), "sizes")
     goals = targets(sized)
-    scales = _inclusion_scale(sized, goals).select(F.col("source").alias("s2"), "scale")
+    scales = _fetched(_inclusion_scale(sized, goals).select(F.col("source").alias("s2"), "scale"))
     figures = goals.join(scales, F.expr("source <=> s2"), "left").drop("s2").withColumnRenamed("source", "s")
     # a row for each source: the driver has just held this table, so it is safe to broadcast
     rows = sized.join(F.broadcast(figures), F.expr("source <=> s")).drop("s")
@@ -116,9 +124,9 @@ def mix(docs: DataFrame) -> DataFrame:
         return over.groupBy(F.col("source").alias("s")).agg(F.min(by).alias(f"cut_{by}"), F.min(F.col("upto") - F.col("n")).alias(f"had_{by}"))
 
     join = lambda f, c: f.join(F.broadcast(c), F.expr("source <=> s"), "left").drop("s")  # noqa: E731  a row for each source
-    first = cut(drawn, "b1", F.lit(0))
+    first = _fetched(cut(drawn, "b1", F.lit(0)))
     drawn = join(drawn, first)
-    second = cut(drawn.filter("b1 = cut_b1"), "b2", F.col("had_b1"))
+    second = _fetched(cut(drawn.filter("b1 = cut_b1"), "b2", F.col("had_b1")))
     drawn = join(drawn, second)
     order = Window.partitionBy("source").orderBy("q", "doc_id", "key")
     last = drawn.filter("b1 = cut_b1 AND b2 = cut_b2").withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.col("had_b2"))
