@@ -7,6 +7,7 @@ differing bits than bands is always a candidate.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 from math import gcd
 
@@ -61,11 +62,25 @@ def probes(bands: DataFrame, bits: int, setting: str, *keep: str) -> DataFrame:
 
 
 def multiprobe_candidates(bands: DataFrame, bits: int, setting: str, id_: str = "id") -> DataFrame:
-    """Distinct (i, j), i < j, of which one's probe meets the other's key."""
-    probe = probes(bands, bits, setting, id_).alias("a")
-    b = bands.alias("b")
-    joined = probe.join(b, F.expr(f"a.band = b.band AND a.key = b.key AND a.{id_} <> b.{id_}"))
-    return joined.select(F.least(f"a.{id_}", f"b.{id_}").alias("i"), F.greatest(f"a.{id_}", f"b.{id_}").alias("j")).distinct()
+    """Distinct (i, j), i < j, of which one's probe meets the other's key.
+
+    Rows carry the keys of all their bands, and a pair is made only in the first band in which it
+    meets, so that pairs are not dealt again to tell them apart. Ids with several keys in a band are
+    joined apart, where a pair can come up more than once.
+    """
+    n = SETTINGS[bits, setting][0]
+    of = lambda b: F.when(F.col("band") == b, F.col("key"))
+    one = reduce(lambda x, y: x & y, [F.min(of(b)).eqNullSafe(F.max(of(b))) for b in range(n)])
+    keys = bands.groupBy(id_).agg(F.array(*[F.max(of(b)) for b in range(n)]).alias("keys"), one.alias("one"))
+    each = keys.filter("one").select(id_, "keys", F.posexplode("keys").alias("band", "key")).filter("key IS NOT NULL")
+    a, b = probes(each, bits, setting, id_, "keys").alias("a"), each.alias("b")
+    near = lambda k: F.coalesce(F.bit_count(F.get("a.keys", F.lit(k)).bitwiseXOR(F.get("b.keys", F.lit(k)))) <= 1, F.lit(False))
+    before = reduce(lambda x, y: x | y, [(F.col("a.band") > k) & near(k) for k in range(n - 1)])
+    once = a.join(b, F.expr(f"a.band = b.band AND a.key = b.key AND a.{id_} < b.{id_}") & ~before).select(F.col(f"a.{id_}").alias("i"), F.col(f"b.{id_}").alias("j"))
+    several = bands.join(keys.filter("NOT one").select(id_), id_, "left_semi")
+    probe, other = probes(several, bits, setting, id_).alias("a"), bands.alias("b")
+    rest = probe.join(other, F.expr(f"a.band = b.band AND a.key = b.key AND a.{id_} <> b.{id_}"))
+    return once.union(rest.select(F.least(f"a.{id_}", f"b.{id_}").alias("i"), F.greatest(f"a.{id_}", f"b.{id_}").alias("j")).distinct())
 
 
 def lossless_candidates(hashes: DataFrame, parts, bits: int, threshold: int, id_: str = "id", value: str = "h") -> DataFrame:
