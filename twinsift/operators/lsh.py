@@ -9,16 +9,21 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations
-from math import gcd
+from math import comb, gcd
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinsift.functions.fingerprints import hash_bytes, hash_bytes144
+from twinsift.operators.pairs import tiled_pairs
+
 #: Fixed values: (bands, bytes in each) by hash length and setting.
 SETTINGS = {
     (144, "loose"): (12, 1), (144, "normal"): (6, 3), (144, "strict"): (4, 4),
     (64, "loose"): (8, 1), (64, "normal"): (4, 2), (64, "strict"): (2, 4),
 }
+#: Tiles of a comparison of all pairs; tasks are TILES * (TILES + 1) / 2.
+TILES = 12
 STRIDES = (7, 5, 11, 13, 3, 17, 19, 23)
 SAMPLE_SHARE, SAMPLE_LEAST, SAMPLE_MOST, LOOK_AHEAD = 0.05, 10, 500, 19
 
@@ -107,6 +112,27 @@ def lossless_candidates(hashes: DataFrame, parts, bits: int, threshold: int, id_
     return joined.select(F.least(f"a.{id_}", f"b.{id_}").alias("i"), F.greatest(f"a.{id_}", f"b.{id_}").alias("j")).distinct()
 
 
+def pairs_within(hashes: DataFrame, bits: int, threshold: int, distance, id_: str = "id", value: str = "h") -> DataFrame:
+    """(i, j, dist), i < j, of all pairs of rows within ``threshold`` bits.
+
+    Two random hashes meet by the keys of :func:`lossless_candidates` in ``meets`` of them on average. From one on, all
+    pairs are fewer, so these are compared in tiles; below, the candidates are. Only pairs within the threshold leave the join.
+    """
+    n = bits // 16
+    near = threshold // n
+    keys = lambda k: sum(comb(16, size) for size in range(k + 1))
+    meets = n * keys(near // 2) * keys(near - near // 2) / (1 << 16)
+    dist = distance(F.col(f"a.{value}"), F.col(f"b.{value}"))
+    if meets >= 1:
+        joined = tiled_pairs(hashes, id_, TILES, value)
+    else:
+        parts = hash_bytes if bits == 64 else hash_bytes144
+        found = lossless_candidates(hashes, parts, bits, threshold, id_, value)
+        side = lambda name: hashes.select(id_, value).alias(name)
+        joined = found.join(side("a"), F.col("i") == F.col(f"a.{id_}")).join(side("b"), F.col("j") == F.col(f"b.{id_}"))
+    return joined.filter(dist <= threshold).select(F.col(f"a.{id_}").alias("i"), F.col(f"b.{id_}").alias("j"), dist.alias("dist"))
+
+
 def bucket_stats(bands: DataFrame) -> DataFrame:
     """buckets, avg_size, max_size, singletons, candidate pairs and the reduction in percent."""
     sizes = bands.groupBy("band", "key").agg(F.count("*").alias("n"))
