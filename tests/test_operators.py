@@ -238,6 +238,33 @@ def test_lossless_candidates_miss_nothing(spark):
         assert want <= got and all(i < j for i, j in got)
 
 
+@pytest.mark.parametrize("bits", [64, 144])
+def test_pairs_near_are_all_pairs_within_the_bound_and_no_others(spark, bits):
+    rng = random.Random(5)
+    base = [rng.getrandbits(bits) for _ in range(8)]
+    raw = [(i % 60, base[i % 8] ^ sum(1 << b for b in rng.sample(range(bits), rng.randint(0, 12)))) for i in range(100)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    word = lambda h: signed(h) if bits == 64 else (signed(h >> 80), signed(h >> 16 & 2**64 - 1), h & 0xFFFF)
+    df = spark.createDataFrame([*[(i, word(h)) for i, h in raw], (70, None)], f"id long, h {'long' if bits == 64 else 'struct<w0: long, w1: long, w2: int>'}")
+    parts, distance = (hash_bytes, D.hamming) if bits == 64 else (hash_bytes144, D.hamming144)
+    for t in (0, 2, 7, 14, 20):
+        got = [(r["i"], r["j"]) for r in lsh.pairs_near(df, parts, bits, t, distance).collect()]
+        want = {(i, j) for i, x in raw for j, y in raw if i < j and (x ^ y).bit_count() <= t}
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_a_scan_makes_no_pairs_of_a_shared_block_and_misses_none_by_frequency(spark):
+    """Fingerprints that share a block alone make no pair; frequency hashes within their bound do, without a shared block."""
+    rng = random.Random(6)
+    rows = [(i, 7 << 48 | rng.getrandbits(48), rng.getrandbits(62)) for i in range(50)]
+    rows += [(100, 0, 0), (101, (1 << 63) - 1, 3)]
+    nodes = spark.createDataFrame(rows, "id long, fp long, phash long")
+    config = ScanConfig(bits=64, max_distance=7, with_phash=True, aspect_filter=False)
+    assert [(r["i"], r["j"]) for r in scan._band_pairs(nodes, D.hamming, config).collect()] == [(100, 101)]
+    files = nodes.select("id", F.lit(4).alias("width"), F.lit(3).alias("height"))
+    assert [(r["src"], r["dst"], r["match_type"]) for r in scan.match_edges(files, nodes, config).collect()] == [(100, 101, "phash")]
+
+
 def test_images_go_through_the_scan(spark, sf):
     """Groups of the image scan are the components of all pairs within the distance, by brute force."""
     from twinsift import queries as Q

@@ -112,6 +112,38 @@ def lossless_candidates(hashes: DataFrame, parts, bits: int, threshold: int, id_
     return joined.select(F.least(f"a.{id_}", f"b.{id_}").alias("i"), F.greatest(f"a.{id_}", f"b.{id_}").alias("j")).distinct()
 
 
+def pairs_near(hashes: DataFrame, parts, bits: int, threshold: int, distance, id_: str = "id", value: str = "h") -> DataFrame:
+    """Distinct (i, j), i < j, of exactly the ids with hashes within ``threshold`` bits; an id may have several hashes.
+
+    Block b of two bytes is searched within r(b) bits, and the r(b) + 1 add up to threshold + 1: a pair beyond r(b) in
+    each block would differ in more bits. Hashes are compared in the join, in the first block in which they meet, so
+    that only near pairs leave it, however many share a block. Hashes are flat columns, which shuffle in fewer bytes.
+    """
+    n = bits // 16
+    least, more = divmod(threshold + 1, n)
+    reach = [least - (b >= more) for b in range(n)]
+    words = [f"{value}.w0", f"{value}.w1", f"{value}.w2"] if bits == 144 else [value]
+    at = lambda name: [F.col(f"{name}{k}") for k in range(len(words))]
+    whole = lambda name: F.struct(*[c.alias(f"w{k}") for k, c in enumerate(at(name))]) if bits == 144 else at(name)[0]
+    flat = hashes.filter(F.col(value).isNotNull()).select(id_, *[F.col(w).alias(f"_h{k}") for k, w in enumerate(words)])
+    pair = lambda x, b: parts(x)[2 * b].cast("int") * 256 + parts(x)[2 * b + 1].cast("int")
+    used = [b for b in range(n) if reach[b] >= 0]
+    blocks = F.array(*[F.struct(F.lit(b).alias("block"), pair(whole("_h"), b).alias("key")) for b in used])
+    each = flat.select("*", F.explode(blocks).alias("_b")).select(id_, *at("_h"), "_b.block", "_b.key")
+
+    def side(share) -> DataFrame:
+        flips = lambda k: F.array(*[F.lit(sum(1 << b for b in c)) for size in range(k + 1) for c in combinations(range(16), size)])
+        masks = F.when(F.col("block") < more, flips(share(least))).otherwise(flips(share(max(0, least - 1))))
+        return each.select(id_, *at("_h"), "block", F.explode(F.transform(masks, lambda x: F.col("key").bitwiseXOR(x))).alias("key"))
+
+    a, b = side(lambda r: r // 2).alias("a"), side(lambda r: r - r // 2).alias("b")
+    x, y = whole("a._h"), whole("b._h")
+    met = lambda k: F.bit_count(pair(x, k).bitwiseXOR(pair(y, k))) <= reach[k]
+    before = reduce(lambda u, v: u | v, [(F.col("a.block") > k) & met(k) for k in used], F.lit(False))
+    joined = a.join(b, F.expr(f"a.block = b.block AND a.key = b.key AND a.{id_} < b.{id_}") & (distance(x, y) <= threshold) & ~before)
+    return joined.select(F.col(f"a.{id_}").alias("i"), F.col(f"b.{id_}").alias("j")).distinct()
+
+
 def pairs_within(hashes: DataFrame, bits: int, threshold: int, distance, id_: str = "id", value: str = "h") -> DataFrame:
     """(i, j, dist), i < j, of all pairs of rows within ``threshold`` bits.
 

@@ -54,14 +54,22 @@ def _window_pairs(rows: DataFrame, reps: DataFrame, reach: int) -> DataFrame:
 
 
 def _band_pairs(nodes: DataFrame, distance, config: ScanConfig) -> DataFrame:
-    """(i, j) of nodes that share a band. In mode auto, no pair with fingerprints or, if compared, variants within the
-    threshold is missing; crops are compared among these pairs and, with colours, those of the window."""
+    """(i, j) of nodes that share a band. In mode auto, no pair with fingerprints, frequency hashes or, if compared, variants
+    within the threshold is missing; without crops and colours, only such pairs are there. Crops are compared among the pairs
+    that share a block and, with colours, those of the window."""
     parts = hash_bytes if config.bits == 64 else hash_bytes144
     if config.lsh_mode != "auto":
         setting = lsh.choose_setting(nodes.select("id", "fp"), distance, config.threshold, config.lsh_mode)
         return lsh.candidates(lsh.explode_bands(nodes, parts(F.col("fp")), config.bits, setting, "id"))
-    every = F.concat(F.array("fp"), F.coalesce(F.col("variants"), F.array())) if config.with_variants else F.array("fp")
-    return lsh.lossless_candidates(nodes.select("id", F.explode(every).alias("h")), parts, config.bits, config.threshold)
+    every = F.array_distinct(F.concat(F.array("fp"), F.coalesce(F.col("variants"), F.array()))) if config.with_variants else F.array("fp")
+    hashes = nodes.select("id", F.explode(every).alias("h"))
+    if config.with_crops or config.with_colour:
+        found = lsh.lossless_candidates(hashes, parts, config.bits, config.threshold)
+    else:
+        found = lsh.pairs_near(hashes, parts, config.bits, config.threshold, distance)
+    if config.with_phash:
+        found = found.union(lsh.pairs_near(nodes.select("id", "phash"), hash_bytes, 64, D.phash_bound(config.threshold), D.hamming, value="phash")).distinct()
+    return found
 
 
 def scan_fingerprints(found: DataFrame, bits: int = 144) -> DataFrame:
