@@ -365,6 +365,47 @@ def test_line_groups_match_brute_force(spark):
     assert got == {i for i in range(len(texts)) if root(i) != i}
 
 
+def scattered_lines():
+    """Pairs of lines with many typos, one in 81 words against 60 with the spaces gone, and the most edits of a similar pair."""
+    rng = random.Random(31)
+    vocab = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(3000)]
+    texts = []
+    for _ in range(120):
+        a = " ".join(rng.choices(vocab, k=rng.randrange(25, 60)))
+        b = list(a)
+        for i in rng.sample([i for i, x in enumerate(b) if x != " "], int(len(b) * 0.11)):
+            b[i] = rng.choice("abcdefghijklmnop")
+        texts += [a, "".join(b)]
+    many = rng.choices(vocab, k=81)
+    texts += [" ".join(many), "".join(many[:22]) + " " + " ".join(many[22:])]
+    return texts, lambda a, b: int(0.2 * max(len(a), len(b)) + 1e-9)
+
+
+def test_similar_lines_that_share_a_block_are_linked(spark):
+    """No link among the candidates is left out, few as the places may be in which their sketches agree."""
+    texts, most = scattered_lines()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = lines.materialize(lines.distinct_lines(lines.lines(df)), "lines")
+    norm = {r["node"]: r["norm"] for r in nodes.collect()}
+    buckets = {}
+    for r in lines.gram_buckets(nodes).select("k", "node").collect():
+        buckets.setdefault(r["k"], set()).add(r["node"])
+    met = {(a, b) for s in buckets.values() for a in s for b in s if a < b}
+    links = [(a, b) for a, b in met if levenshtein(norm[a], norm[b]) <= most(norm[a], norm[b])]
+    group = {r["node"]: r["g"] for r in lines.gram_groups(nodes).collect()}
+    assert len(links) > 20 and all(group.get(a) == group.get(b, 0) for a, b in links)
+
+
+def test_complete_line_groups_are_all_similar_pairs(spark):
+    """Held against all pairs: also those without a common block, and of many words against fewer."""
+    texts, most = scattered_lines()
+    texts = texts[:24] + texts[-2:]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    gone = {r["doc_id"] for r in lines.removed_lines(df, complete=True).collect()}
+    assert gone == {j for j, b in enumerate(texts) if any(abs(len(a) - len(b)) <= most(a, b) and levenshtein(a, b) <= most(a, b) for a in texts[:j])}
+    assert len(texts) - 1 in gone
+
+
 def test_line_query_finds_similar_lines_of_every_length(spark, tmp_path):
     """Held against edit similarity alone: a changed word, a typo, and a few typos, in lines of 1 to 60 words."""
     rng = random.Random(21)
