@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import sys
 from pathlib import Path
@@ -396,6 +397,35 @@ def test_similar_lines_that_share_a_block_are_linked(spark):
     assert len(links) > 20 and all(group.get(a) == group.get(b, 0) for a, b in links)
 
 
+def test_line_groups_in_parts_leave_no_spent_table(spark, monkeypatch):
+    """Candidates are verified a part at a time with the same groups, and tables that nothing reads any more are gone."""
+    rng = random.Random(33)
+    texts, _ = scattered_lines()
+    texts = texts[:40]
+    for n_words in (30, 75):
+        base = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n_words)]
+        for _ in range(60):
+            w = list(base)
+            for i in rng.sample(range(n_words), n_words // 15):
+                w[i] = "".join(rng.choices("abcdefghij", k=6))
+            texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = lines.materialize(lines.distinct_lines(lines.lines(df)), "lines")
+    groups = lambda: sorted(map(tuple, lines.gram_groups(nodes).collect()))
+    want, keep, made = groups(), lines.materialize, []
+
+    def noted(df, tag, *a, **k):
+        made.append((tag, keep(df, tag, *a, **k)))
+        return made[-1][1]
+
+    monkeypatch.setattr(lines, "materialize", noted)
+    monkeypatch.setattr(lines, "LEAST_AT_ONCE", 1, raising=False)
+    assert groups() == want and len(want) > 100
+    left = {tag for tag, table in made if os.path.exists(table.twinsift_path.removeprefix("file://"))}
+    assert not left & {"minima", "buckets", "candidates", "texts", "mixed"}
+    assert sum(tag == "links" for tag, _ in made) > 6
+
+
 def test_complete_line_groups_are_all_similar_pairs(spark):
     """Held against all pairs: also those without a common block, and of many words against fewer."""
     texts, most = scattered_lines()
